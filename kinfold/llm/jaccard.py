@@ -268,9 +268,9 @@ def kept(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     """
     verdict = stage(linked(docs, width, num, den), "jaccard-verdict")
     first = verdict.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("one"))
-    keys = first.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th")).withColumn("_keep", F.lit(True))
-    copies = verdict.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg((F.count("*") > 1).alias("_many"))
-    keys = keys.join(copies, F.col("_id").eqNullSafe(copies["_id"]) & (keys["_th"] == copies["_th"]), "left").select(keys["_id"], keys["_th"], "_keep", "_many")
+    keys = first.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"))
+    copies = verdict.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_id2"), F.col("th").alias("_th2")).agg((F.count("*") > 1).alias("_many"))
+    keys = keys.join(copies, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).select("_id", "_th", "_many")
     keys = stage(keys, "jaccard-keys")
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_h"), blank.alias("_blank"))
