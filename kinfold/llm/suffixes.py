@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,10 +221,11 @@ def _runs(n_parts: int) -> Callable:
         for (suffix, left), places in found.items():
             by_part.setdefault(int.from_bytes(hashlib.blake2b(suffix[:GRAM], digest_size=8).digest(), "little") % n_parts, []).append((suffix, left, places))
         parts, loads = [], []
+        pack = zstandard.ZstdCompressor(level=3).compress
         for part, items in by_part.items():
             items.sort(key=lambda x: x[:2])
             lefts = [x[1] for x in items]
-            loads.append(pickle.dumps((encode_run([x[0] for x in items]), bytes(map(len, lefts)), b"".join(lefts), np.array([len(x[2]) for x in items], np.int64), [p[0] for x in items for p in x[2]], np.array([p[1:] for x in items for p in x[2]], np.int64)), protocol=5))
+            loads.append(pack(pickle.dumps((encode_run([x[0] for x in items]), bytes(map(len, lefts)), b"".join(lefts), np.array([len(x[2]) for x in items], np.int64), [p[0] for x in items for p in x[2]], np.array([p[1:] for x in items for p in x[2]], np.int64)), protocol=5)))
             parts.append(part)
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(loads, pa.binary())], ["part", "run"])
@@ -299,8 +301,9 @@ def repeated_windows(suffixes: list[bytes], lefts: list[bytes], shared: np.ndarr
 
 def _merged(t: pa.Table) -> pa.Table:
     runs, lefts, places = [], [], []
+    unpack = zstandard.ZstdDecompressor().decompress
     for load in t.column("run").to_pylist():
-        (shared, rest, tails), left_lens, left_bytes, counts, ids, where = pickle.loads(load)
+        (shared, rest, tails), left_lens, left_bytes, counts, ids, where = pickle.loads(unpack(load))
         ends = np.cumsum(np.frombuffer(left_lens, np.uint8).astype(np.int64)).tolist()
         lefts.append([left_bytes[a:b] for a, b in zip([0, *ends], ends, strict=False)])
         stops = np.cumsum(counts).tolist()
