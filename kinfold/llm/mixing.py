@@ -26,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import running_total, stage, table, words_of
+from .common import running_total, shuffle_parts, stage, table, words_of
 
 BLOCK = 64
 EPOCHS = 3
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 SLOTS_PER_SHARD = 16_384
 CHUNK = 8192
 
@@ -83,10 +83,13 @@ def packed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
 
 def draws(sources: DataFrame, seed: int) -> DataFrame:
     """_src, _block, shard, slot: one row for each drawn block of the whole mix."""
+    spark = sources.sparkSession
+    # a stated number of partitions: the few bytes of chunk numbers would else be put into one task
+    parts = max(shuffle_parts(spark), (sources.agg(F.sum("_drawn")).first()[0] or 0) // (8 * CHUNK))
     total = F.sum("_drawn").over(Window.partitionBy(F.lit(0)))
     s = sources.where("_drawn > 0").withColumn("_pool", total)
     chunks = s.select("_src", "_blocks", "_drawn", "_from", "_pool", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_drawn") - 1) / CHUNK))).alias("_c"))
-    chunks = chunks.repartition(F.col("_src"), F.col("_c"))
+    chunks = chunks.repartition(parts, F.col("_src"), F.col("_c"))
     last = F.least(F.col("_drawn"), (F.col("_c") + 1) * CHUNK) - 1
     each = chunks.withColumn("_j", F.explode(F.sequence(F.col("_c") * CHUNK, last)))
     use = F.floor(F.col("_j") / F.col("_blocks"))
@@ -107,7 +110,8 @@ def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
     placed, sources = packed(docs, seed)
     uses = draws(sources, seed).groupBy("_src", "_block").agg(F.count("*").alias("_uses"))
     keys = ["doc_id", "_src", "_off", "size", "source_size", "target", "source"]
-    got = pieces(placed).join(uses, ["_src", "_block"], "left")
+    # the planner takes the draws for as small as the sources that they are exploded from
+    got = pieces(placed).join(uses.hint("shuffle_hash"), ["_src", "_block"], "left")
     got = got.groupBy(*keys).agg(F.coalesce(F.sum(F.col("_words") * F.col("_uses")), F.lit(0).cast("long")).alias("taken"))
     none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return got.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source")
