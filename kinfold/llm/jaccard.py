@@ -2,16 +2,21 @@
 
 Sets are distinct word shingles. Equal sets form a class, and only classes go on. Sizes fall
 into bands whose neighbours hold all partners: a set signs for its own band and the next.
-For a band, sets that link differ in at most k features, so with k + 2 cells of the feature
-domain at least two cells agree wholly. Cells are first-level partitions of two second-level
-cells each, and the enumerated subsets leave one of the two out; each subset signs. A subset
-without features signs only if the set has two of them (else another one agrees).
+For a band, sets that link differ in at most k features. The feature domain is cut into
+first-level partitions of a few second-level cells; with (k + 1) / 2 partitions, two linked
+sets differ by at most one feature in one of them, so there they agree on some subset of its
+cells that leaves one out. Each such subset signs. Some more partitions than needed are
+made, and only sets with more partitions than that with an empty subset sign those
+(otherwise a subset with features agrees too). Where k is 0 only equal sets would link.
 
 Classes that share a signature are chained to the least one (a star, not all pairs);
-connected chains are families, which hold every linked pair. Inside a family all sets are
-compared exactly, in blocks of ``BLOCK`` by ``BLOCK`` sets: shared features by matrix products
-over features that occur twice. A block returns a spanning forest of its links, so output
-grows with the members, while no link is lost. Links' components give the result.
+connected chains are families, which hold every linked pair. Every choice of cells has that
+property, so families of more than ``BLOCK`` classes are cut again by signatures of other
+cells, up to ``CUTS`` times, before any comparison.
+
+Inside a family all sets are compared exactly, in blocks of about ``BLOCK`` by ``BLOCK`` sets:
+shared features by matrix products. A block returns a spanning forest of its links, so
+output grows with the members, while no link is lost. Links' components give the result.
 
 Similarity is exact but for 64-bit hashes of shingles inside one pair of sets.
 
@@ -36,8 +41,8 @@ from .grams import chunks, distinct, mix, shingles
 
 BLOCK = 1024
 BROADCAST_ROWS = 500_000
-SPARE = 1
-SECOND, LEFT_OUT = 2, 1
+CUTS = 3
+LEFT_OUT = 1
 
 
 def bands(most: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -50,45 +55,52 @@ def bands(most: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def cells_of(hi: int, num: int, den: int) -> int:
-    """First-level partitions for sets of up to ``hi`` features."""
+def partitions(hi: int, num: int, den: int) -> tuple[int, int]:
+    """(first-level partitions needed, partitions made) for sets of up to ``hi`` features; none if k is 0."""
     k = 2 * hi * (den - num) // (den + num)
-    need = k + 1 + SPARE
-    return -(-need // (LEFT_OUT + 1))
+    if not k:
+        return 0, 0
+    need = -(-(k + 1) // (LEFT_OUT + 1))
+    return need, need + (1 + need // 16 if second_level(num, den) == 2 else 2 + need // 8)
+
+
+def second_level(num: int, den: int) -> int:
+    """Cells of a partition: two where cells are large enough at that threshold, else three."""
+    return 2 if 9 * (den - num) <= den else 3
 
 
-def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(signatures of all sets in order, place of each set's first)."""
     size = np.diff(at)
     b = bands(int(size.max(initial=1)), num, den)
     lows = np.array([x[0] for x in b])
     band = np.searchsorted(lows, np.maximum(size, 1), side="right") - 1
-    first_level = np.array([cells_of(hi, num, den) for _, hi in b])
+    need, made = np.array([partitions(hi, num, den) for _, hi in b]).T
     set_of = np.repeat(np.arange(len(size)), size)
-    mixed = mix(h, 5)
+    mixed, spot = mix(h, 5), mix(h, 9 + 64 * salt) >> np.uint64(32)
+    cells = second_level(num, den)
+    subsets = [list(s) for s in itertools.combinations(range(cells), cells - LEFT_OUT)]
     out, owner = [], []
     for shift in (0, 1):
         instance = band + shift
-        n1 = np.where(size > 0, first_level[instance], 0)
-        base = np.concatenate([[0], np.cumsum(n1 * SECOND)])
-        cells = (n1 * SECOND)[set_of]
-        cell = ((mix(h, 9) >> np.uint64(32)) * cells.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        n1 = np.where(size > 0, made[instance], 0)
+        base = np.concatenate([[0], np.cumsum(n1 * cells)])
+        place = base[set_of] + (spot * (n1 * cells)[set_of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        some = (n1 > 0)[set_of]
         total = np.zeros(base[-1], np.uint64)
         count = np.zeros(base[-1], np.int64)
-        place = base[set_of] + cell
-        np.add.at(total, place, mixed)
-        np.add.at(count, place, 1)
-        total, count = total.reshape(-1, SECOND), count.reshape(-1, SECOND)
+        np.add.at(total, place[some], mixed[some])
+        np.add.at(count, place[some], 1)
+        total, count = total.reshape(-1, cells), count.reshape(-1, cells)
         row_of = np.repeat(np.arange(len(size)), n1)
-        within = np.arange(len(row_of)) - np.repeat(base[:-1] // SECOND, n1)
+        within = np.arange(len(row_of)) - np.repeat(base[:-1] // cells, n1)
         tag = mix((instance[row_of].astype(np.uint64) << np.uint64(32)) | within.astype(np.uint64), 7)
-        subsets = list(itertools.combinations(range(SECOND), SECOND - LEFT_OUT))
-        empties = np.zeros(len(size), np.int64)
-        for s in subsets:
-            np.add.at(empties, row_of, count[:, list(s)].sum(1) == 0)
+        empty = np.stack([count[:, s].sum(1) == 0 for s in subsets], 1)
+        bad = np.bincount(row_of, weights=empty.any(1), minlength=len(size))
+        show = bad > (made - need)[instance]
         for k, s in enumerate(subsets):
-            ok = (count[:, list(s)].sum(1) > 0) | (empties[row_of] > SPARE)
-            out.append(mix(total[:, list(s)].sum(1, dtype=np.uint64) ^ tag, 11 + k)[ok])
+            ok = ~empty[:, k] | show[row_of]
+            out.append(mix(total[:, s].sum(1, dtype=np.uint64) ^ tag, 11 + k)[ok])
             owner.append(row_of[ok])
     sig, own = np.concatenate(out), np.concatenate(owner)
     order = np.argsort(own, kind="stable")
@@ -99,24 +111,40 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _features(width: int, num: int, den: int) -> Callable:
+def _digests(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each set."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h, s), dtype=np.uint64)]) for s in (2, 3)]
+    return [s[at[1:]] - s[at[:-1]] for s in sums]
+
+
+def _features(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, off in chunks(batch.column("text")):
+                h, at = distinct(*shingles(data, off, width))
+                d1, d2 = _digests(h, at)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(np.diff(at).astype(np.int64)), _signed(d1), _signed(d2)], ["doc_id", "th", "n_shingles", "d1", "d2"])
+
+    return run
+
+
+def _signs(width: int, num: int, den: int, salt: int) -> Callable:
+    """Rows (text, family) to rows (sig, d1); signatures of different families differ. A class signs once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a class signs once a task; its copies add nothing
+        seen: set[int] = set()
         for batch in batches:
+            family = batch.column("family").to_numpy().view(np.uint64)
             for a, b, data, off in chunks(batch.column("text")):
                 h, at = distinct(*shingles(data, off, width))
                 size = np.diff(at)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h, s), dtype=np.uint64)]) for s in (2, 3)]
-                d1, d2 = (s[at[1:]] - s[at[:-1]] for s in sums)
+                d1, _ = _digests(h, at)
                 fresh = np.array([n > 0 and not (x in seen or seen.add(x)) for x, n in zip(d1.tolist(), size.tolist(), strict=True)], bool)
-                some = np.flatnonzero(fresh)
-                pick = np.repeat(fresh, size)
-                sub = np.concatenate([[0], np.cumsum(size[some])])
-                sig, place = signatures(h[pick], sub, num, den) if len(some) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-                counts = np.zeros(b - a, np.int64)
-                counts[some] = np.diff(place)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _signed(sig))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(size.astype(np.int64)), _signed(d1), _signed(d2), lists], ["doc_id", "th", "n_shingles", "d1", "d2", "sigs"])
+                if not fresh.any():
+                    continue
+                sig, place = signatures(h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])]), num, den, salt)
+                times = np.diff(place)
+                yield pa.RecordBatch.from_arrays([_signed(mix(sig ^ np.repeat(mix(family[a:b][fresh], 17), times), 19)), _signed(np.repeat(d1[fresh], times))], ["sig", "d1"])
 
     return run
 
@@ -224,28 +252,54 @@ def _node() -> Column:
     return F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))
 
 
-def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    slim = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return stage(slim.mapInArrow(_features(width, num, den), "doc_id long, th long, n_shingles long, d1 long, d2 long, sigs array<long>"), "jaccard-features")
+def _whole(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+
+
+def _chained(rows: DataFrame, width: int, num: int, den: int, salt: int) -> DataFrame:
+    """(d1, family) of all classes of ``rows`` (text, family) that share a signature in their family."""
+    n = shuffle_parts(rows.sparkSession)
+    signed = rows.select("text", "family").mapInArrow(_signs(width, num, den, salt), "sig long, d1 long")
+    pairs = signed.repartition(n, "sig").sortWithinPartitions("sig", "d1").mapInArrow(_stars, "a long, b long").distinct()
+    found = components(pairs).select(F.col("node").alias("d1"), F.col("component").alias("family"))
+    return stage(found, "jaccard-families")
+
+
+def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (mth, mid, ...) with the text of each; the list is broadcast up to ``BROADCAST_ROWS`` rows."""
+    if members.count() <= BROADCAST_ROWS:
+        members = F.broadcast(members)
+    return _whole(docs).join(members, (F.col("th") == F.col("mth")) & F.col("doc_id").eqNullSafe(F.col("mid")))
+
+
+def families(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(d1, family, size): families of two and more classes, large ones cut by further signatures."""
+    family = _chained(_whole(docs).withColumn("family", F.lit(0).cast("long")), width, num, den, 0)
+    one = classes.select("d1", F.col("one.th").alias("mth"), F.col("one.doc_id").alias("mid"))
+    done = None
+    for salt in range(1, CUTS + 1):
+        sizes = stage(family.join(classes.select("d1"), "d1").groupBy("family").agg(F.count("*").alias("size")), "jaccard-sizes")
+        sized = family.join(sizes, "family")
+        small = sized.where(F.col("size") <= BLOCK)
+        done = small if done is None else done.unionByName(small)
+        large = stage(sized.where(F.col("size") > BLOCK), "jaccard-large")
+        if large.isEmpty():
+            return done
+        if salt == CUTS:
+            break
+        members = stage(one.join(large.select("d1", "family"), "d1"), "jaccard-large-members")
+        family = _chained(_texts_of(docs, members), width, num, den, salt)
+    return done.unionByName(large)
 
 
 def linked(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id for every row; links at num/den or more."""
-    spark = docs.sparkSession
-    f = features(docs, width, num, den)
-    signed = f.select(F.explode("sigs").alias("sig"), "d1")
-    pairs = signed.repartition(shuffle_parts(spark), "sig").sortWithinPartitions("sig", "d1").mapInArrow(_stars, "a long, b long").distinct()
-    family = components(pairs).select(F.col("node").alias("d1"), F.col("component").alias("family"))
-    family = stage(family, "jaccard-families")
+    f = stage(_whole(docs).mapInArrow(_features(width), "doc_id long, th long, n_shingles long, d1 long, d2 long"), "jaccard-features")
     classes = f.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("th", "doc_id")).alias("one"), F.min("doc_id").alias("least"))
     classes = stage(classes.withColumn("node", _node()), "jaccard-classes")
-    sizes = classes.select("d1").join(family, "d1").groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    members = classes.join(family, "d1").join(sizes, "family").select("node", "family", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("one.th").alias("mth"), F.col("one.doc_id").alias("mid"))
-    members = stage(members, "jaccard-members")
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    whole = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    found = whole.join(members, (F.col("th") == F.col("mth")) & F.col("doc_id").eqNullSafe(F.col("mid")))
+    family = families(docs, classes, width, num, den).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = classes.join(family, "d1").select("node", "family", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("one.th").alias("mth"), F.col("one.doc_id").alias("mid"))
+    found = _texts_of(docs, stage(members, "jaccard-members"))
     sets = found.select("node", "family", "part", "parts", "text").mapInArrow(_sets(width), "node string, family long, part int, parts int, items array<long>")
     dealt = sets.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "family", "part", "items", F.least("part", "_o").alias("lo"), F.greatest("part", "_o").alias("hi"))
     links = dealt.groupBy("family", "lo", "hi").applyInArrow(_verify(num, den), "a string, b string")
@@ -253,9 +307,8 @@ def linked(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Da
     named = classes.select("node", "d1", "d2", "n_shingles", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n_shingles").alias("cn"), "component_id")
-    rows = f.select("doc_id", "th", "n_shingles", "d1", "d2")
-    some = rows.where("n_shingles > 0").join(named, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn")))
-    none = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    some = f.where("n_shingles > 0").join(named, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn")))
+    none = f.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     out = ["doc_id", "th", "n_shingles", "component_id"]
     return some.select(*out).unionByName(none.select(*out))
 
