@@ -9,10 +9,16 @@ cells that leaves one out. Each such subset signs. Some more partitions than nee
 made, and only sets with more partitions than that with an empty subset sign those
 (otherwise a subset with features agrees too). Where k is 0 only equal sets would link.
 
+Any part of the features differs by at most k too, so at thresholds that need small cells the
+signatures leave out the most common features (``COMMON`` of them at most, counted in tasks
+and broadcast); the same ones for all sets, else any choice is right.
+
 Classes that share a signature are chained to the least one (a star, not all pairs);
-connected chains are families, which hold every linked pair. Every choice of cells has that
-property, so families of more than ``BLOCK`` classes are cut again by signatures of other
-cells, up to ``CUTS`` times, before any comparison.
+connected chains are families, which hold every linked pair. Common passages can chain many
+sets that are not alike, so the members of families of more than ``BLOCK`` classes are cut
+again before any comparison, by their rarest features: ordered by how many members have
+them, the first n - ceil(threshold n) + 1 features of two linked sets share one, and a
+feature that no other member has chains nothing.
 
 Inside a family all sets are compared exactly, in blocks of about ``BLOCK`` by ``BLOCK`` sets:
 shared features by matrix products. A block returns a spanning forest of its links, so
@@ -35,14 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, stage, table
+from .common import release, shuffle_parts, stage, table
 from .components import components
 from .grams import chunks, distinct, mix, shingles
 
 BLOCK = 1024
 BROADCAST_ROWS = 500_000
-CUTS = 3
 LEFT_OUT = 1
+COMMON = 100_000
+COMMON_IN_TASK = 6
 
 
 def bands(most: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -69,15 +76,15 @@ def second_level(num: int, den: int) -> int:
     return 2 if 9 * (den - num) <= den else 3
 
 
-def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures of all sets in order, place of each set's first)."""
+def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int, left_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures of all sets in order, place of each set's first). Sizes count all features."""
     size = np.diff(at)
     b = bands(int(size.max(initial=1)), num, den)
     lows = np.array([x[0] for x in b])
     band = np.searchsorted(lows, np.maximum(size, 1), side="right") - 1
     need, made = np.array([partitions(hi, num, den) for _, hi in b]).T
     set_of = np.repeat(np.arange(len(size)), size)
-    mixed, spot = mix(h, 5), mix(h, 9 + 64 * salt) >> np.uint64(32)
+    mixed, spot = mix(h, 5), mix(h, 9) >> np.uint64(32)
     cells = second_level(num, den)
     subsets = [list(s) for s in itertools.combinations(range(cells), cells - LEFT_OUT)]
     out, owner = [], []
@@ -87,6 +94,8 @@ def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int, salt: int = 0)
         base = np.concatenate([[0], np.cumsum(n1 * cells)])
         place = base[set_of] + (spot * (n1 * cells)[set_of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         some = (n1 > 0)[set_of]
+        if left_out is not None:
+            some &= _without(h, left_out)
         total = np.zeros(base[-1], np.uint64)
         count = np.zeros(base[-1], np.int64)
         np.add.at(total, place[some], mixed[some])
@@ -128,23 +137,62 @@ def _features(width: int) -> Callable:
     return run
 
 
-def _signs(width: int, num: int, den: int, salt: int) -> Callable:
-    """Rows (text, family) to rows (sig, d1); signatures of different families differ. A class signs once a task."""
+def _frequent(width: int) -> Callable:
+    """Rows (text) to (sig, n): features that at least ``COMMON_IN_TASK`` texts of some million features have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            f, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n >= COMMON_IN_TASK
+            return pa.RecordBatch.from_arrays([_signed(f[many]), pa.array(n[many].astype(np.int64))], ["sig", "n"])
+
+        for batch in batches:
+            for _, _, data, off in chunks(batch.column("text")):
+                h, _ = distinct(*shingles(data, off, width))
+                held.append(h)
+                size += len(h)
+                if size > 4_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def common_features(docs: DataFrame, width: int) -> np.ndarray:
+    """The most common features, sorted; ``COMMON`` at most."""
+    found = _whole(docs).select("text").mapInArrow(_frequent(width), "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "sig").limit(COMMON).select("sig").toArrow().column("sig").to_numpy()
+    return np.sort(top.view(np.uint64))
+
+
+def _without(h: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+    """True for features to keep."""
+    if not len(left_out):
+        return np.ones(len(h), bool)
+    k = np.minimum(np.searchsorted(left_out, h), len(left_out) - 1)
+    return left_out[k] != h
+
+
+def _signs(width: int, num: int, den: int, shared=None) -> Callable:
+    """Rows (text) to rows (sig, d1). A class signs once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        left_out = shared.value if shared else np.zeros(0, np.uint64)
         for batch in batches:
-            family = batch.column("family").to_numpy().view(np.uint64)
-            for a, b, data, off in chunks(batch.column("text")):
+            for _, _, data, off in chunks(batch.column("text")):
                 h, at = distinct(*shingles(data, off, width))
                 size = np.diff(at)
                 d1, _ = _digests(h, at)
                 fresh = np.array([n > 0 and not (x in seen or seen.add(x)) for x, n in zip(d1.tolist(), size.tolist(), strict=True)], bool)
                 if not fresh.any():
                     continue
-                sig, place = signatures(h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])]), num, den, salt)
-                times = np.diff(place)
-                yield pa.RecordBatch.from_arrays([_signed(mix(sig ^ np.repeat(mix(family[a:b][fresh], 17), times), 19)), _signed(np.repeat(d1[fresh], times))], ["sig", "d1"])
+                sig, place = signatures(h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])]), num, den, left_out)
+                yield pa.RecordBatch.from_arrays([_signed(sig), _signed(np.repeat(d1[fresh], np.diff(place)))], ["sig", "d1"])
 
     return run
 
@@ -256,15 +304,42 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
 
-def _chained(rows: DataFrame, width: int, num: int, den: int, salt: int) -> DataFrame:
-    """(d1, family) of all classes of ``rows`` (text, family) that share a signature in their family."""
-    n = shuffle_parts(rows.sparkSession)
-    signed = rows.select("text", "family").mapInArrow(_signs(width, num, den, salt), "sig long, d1 long")
+def _features_of(width: int) -> Callable:
+    """Rows (text) to rows (sig, d1, n) of all features of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in chunks(batch.column("text")):
+                h, at = distinct(*shingles(data, off, width))
+                size = np.diff(at)
+                d1, _ = _digests(h, at)
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(np.repeat(d1, size)), pa.array(np.repeat(size, size).astype(np.int32))], ["sig", "d1", "n"])
+
+    return run
+
+
+def _chained(signed: DataFrame) -> DataFrame:
+    """(d1, family) of all classes that share a signature, from rows (sig, d1)."""
+    n = shuffle_parts(signed.sparkSession)
     pairs = signed.repartition(n, "sig").sortWithinPartitions("sig", "d1").mapInArrow(_stars, "a long, b long").distinct()
     found = components(pairs).select(F.col("node").alias("d1"), F.col("component").alias("family"))
     return stage(found, "jaccard-families")
 
 
+def _rarest(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (sig, d1, n) of all features to those of each class's prefix, rarest first, that some other class has."""
+    from pyspark.sql import Window
+
+    df = rows.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(df, "sig")
+    own = Window.partitionBy("d1")
+    rank = F.row_number().over(own.orderBy("df", "sig"))
+    # features that no other class has come first in the order, but have nobody to meet
+    alone = F.col("n") - F.count("*").over(own)
+    prefix = F.expr(f"n - ((n * {num}L + {den - 1}L) div {den}L) + 1")
+    return shared.withColumn("_rank", rank + alone).where(F.col("_rank") <= prefix).select("sig", "d1")
+
+
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (mth, mid, ...) with the text of each; the list is broadcast up to ``BROADCAST_ROWS`` rows."""
     if members.count() <= BROADCAST_ROWS:
@@ -273,23 +348,24 @@ def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def families(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(d1, family, size): families of two and more classes, large ones cut by further signatures."""
-    family = _chained(_whole(docs).withColumn("family", F.lit(0).cast("long")), width, num, den, 0)
-    one = classes.select("d1", F.col("one.th").alias("mth"), F.col("one.doc_id").alias("mid"))
-    done = None
-    for salt in range(1, CUTS + 1):
+    """(d1, family, size): families of two and more classes, large ones cut again."""
+
+    def sized(family: DataFrame) -> DataFrame:
         sizes = stage(family.join(classes.select("d1"), "d1").groupBy("family").agg(F.count("*").alias("size")), "jaccard-sizes")
-        sized = family.join(sizes, "family")
-        small = sized.where(F.col("size") <= BLOCK)
-        done = small if done is None else done.unionByName(small)
-        large = stage(sized.where(F.col("size") > BLOCK), "jaccard-large")
-        if large.isEmpty():
-            return done
-        if salt == CUTS:
-            break
-        members = stage(one.join(large.select("d1", "family"), "d1"), "jaccard-large-members")
-        family = _chained(_texts_of(docs, members), width, num, den, salt)
-    return done.unionByName(large)
+        return family.join(sizes, "family")
+
+    shared = docs.sparkSession.sparkContext.broadcast(common_features(docs, width)) if second_level(num, den) > 2 else None
+    first = sized(_chained(_whole(docs).select("text").mapInArrow(_signs(width, num, den, shared), "sig long, d1 long")))
+    large = stage(first.where(F.col("size") > BLOCK).select("d1"), "jaccard-large")
+    small = first.where(F.col("size") <= BLOCK)
+    if large.isEmpty():
+        return small
+    one = classes.select("d1", F.col("one.th").alias("mth"), F.col("one.doc_id").alias("mid"))
+    members = stage(one.join(large, "d1"), "jaccard-large-members")
+    release(docs.sparkSession)
+    texts = _texts_of(docs, members).select("d1", "text").dropDuplicates(["d1"])  # wholly equal rows are one class
+    rows = stage(texts.select("text").mapInArrow(_features_of(width), "sig long, d1 long, n int"), "jaccard-large-features")
+    return small.unionByName(sized(_chained(_rarest(rows, num, den))))
 
 
 def linked(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
