@@ -71,7 +71,7 @@ def packed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     slim = stage(slim, "mix-sizes")
     sizes = slim.groupBy("_src", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     s = targets(sizes).withColumn("_blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
-    drawn = F.least(F.round(F.col("target") * F.col("_blocks") / F.col("source_size")).cast("long"), F.col("_blocks") * EPOCHS)
+    drawn = F.least(F.round(F.try_divide(F.col("target") * F.col("_blocks"), F.col("source_size"))).cast("long"), F.col("_blocks") * EPOCHS)
     s = s.withColumn("_drawn", F.coalesce(drawn, F.lit(0).cast("long")))
     s = s.withColumn("_from", F.coalesce(F.sum("_drawn").over(Window.partitionBy(F.lit(0)).orderBy("_src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     s = stage(s, "mix-sources")
@@ -124,7 +124,7 @@ def repeated(docs: DataFrame, seed: int = 11) -> DataFrame:
     """
     m = mixed(docs, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
     coin = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit("coin")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    m = m.withColumn("_n", F.coalesce(F.floor(F.col("_t") / F.col("_s") + coin), F.lit(0).cast("long"))).where("_n > 0").select("_id", "_n")
+    m = m.withColumn("_n", F.coalesce(F.floor(F.try_divide("_t", "_s") + coin), F.lit(0).cast("long"))).where("_n > 0").select("_id", "_n")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
     rows = rows.join(m, F.col("_doc").eqNullSafe(F.col("_id")))
     return rows.withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")

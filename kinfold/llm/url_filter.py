@@ -40,12 +40,13 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host without ``www.`` and default port, path without last slashes, sorted query without tracking."""
+    """Host without ``www.`` and default port, path without last slashes, sorted query without tracking; null if no URL."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(path_of(url), r"/+$", "")
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    whole = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    return F.when(url.contains("://"), whole)
 
 
 def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -82,7 +83,7 @@ def listed(urls: DataFrame, url: str, blocked: DataFrame, key: str) -> DataFrame
     if n_blocks <= BROADCAST_BLOCKS:
         bloom = F.broadcast(bloom)
     keyed = urls.withColumn("_ckey", canonical(F.col(url))).withColumn("_block", _block(F.col("_ckey"), n_blocks))
-    maybe = F.coalesce(F.col("_word").bitwiseAND(_mask(F.col("_ckey"))) == _mask(F.col("_ckey")), F.lit(False))
+    maybe = F.col("_ckey").isNotNull() & F.coalesce(F.col("_word").bitwiseAND(_mask(F.col("_ckey"))) == _mask(F.col("_ckey")), F.lit(False))
     tested = keyed.join(bloom, "_block", "left").withColumn("_maybe", maybe).drop("_word", "_block")
     hits = tested.where("_maybe").join(want.withColumn("_in", F.lit(True)), F.col("_ckey") == F.col("_key"), "left")
     hits = hits.withColumn("_listed", F.coalesce("_in", F.lit(False))).drop("_in", "_key")
@@ -115,8 +116,8 @@ WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://(
     regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's') AS q,
     regexp_extract(url, '/(\d{1,18})(\.html)?/?([?#].*)?$', 1) AS num FROM pages),
 k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)(=.*)?$'))) AS kept FROM p),
-c AS (SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') ||
-    CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS curl FROM k),
+c AS (SELECT *, CASE WHEN url LIKE '%://%' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') ||
+    CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS curl FROM k),
 bad AS (SELECT DISTINCT curl FROM c WHERE num <> '' AND TRY_CAST(num AS BIGINT) IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
