@@ -146,18 +146,87 @@ def test_wand_retrieves_all_above_threshold():
         assert got == {d for d, x in scores.items() if x >= 1.0 - 1e-9}
 
 
-def test_lattice_sums_all_segmentations():
-    p = lattice.Pieces(lattice.VOCABULARY, {300: 50.0, 1000: 20.0, -1: 5.0})
+def _lattice(copies=2):
+    rng = random.Random(5)
+    n = lattice.Lattice(lattice.VOCABULARY).model.get_piece_size()
+    return lattice.Lattice(lattice.VOCABULARY, np.array([[rng.random() ** 8 * 50 for _ in range(copies)] for _ in range(n)]))
 
-    def paths(word, i):
-        if i == len(word):
-            return 1.0
-        total = sum(math.exp(p.log[word[i:j]]) * paths(word, j) for j in range(i + 1, len(word) + 1) if word[i:j] in p.log)
-        return total + (math.exp(sum(p.byte[b] for b in word[i].encode())) * paths(word, i + 1) if word[i] not in p.log else 0.0)
 
-    for word in ("thing", "réeaux", "a", "漢字x", "zq"):
-        want = math.exp(p.first.get("", p.byte[32])) * paths(word, 0) + sum(math.exp(p.first[word[:j]]) * paths(word, j) for j in range(1, len(word) + 1) if word[:j] in p.first)
-        assert math.isclose(p.word(word), math.log10(want), rel_tol=1e-9)
+def _paths(p, word, k):
+    """(probability, pieces) of every segmentation of a word, by recursion without sums."""
+    prob = lambda i: math.exp(p.log[i, k])
+
+    def rest(i):
+        if i == len(word):
+            yield 1.0, []
+            return
+        for j in range(i + 1, len(word) + 1):
+            if (x := p.inner.get(word[i:j])) is not None:
+                for q, more in rest(j):
+                    yield prob(x) * q, [x, *more]
+        if word[i] not in p.inner:
+            spelled = [int(p.byte[b]) for b in word[i].encode()]
+            for q, more in rest(i + 1):
+                yield math.prod(map(prob, spelled)) * q, [*spelled, *more]
+
+    mark = p.first.get("", int(p.byte[32]))
+    for q, more in rest(0):
+        yield prob(mark) * q, [mark, *more]
+    for j in range(1, len(word) + 1):
+        if (x := p.first.get(word[:j])) is not None:
+            for q, more in rest(j):
+                yield prob(x) * q, [x, *more]
+
+
+LATTICE_WORDS = ["thing", "réeaux", "a", "漢字x", "zq", "andonou"]
+
+
+def test_lattice_sums_all_segmentations(monkeypatch):
+    p = _lattice()
+    want = [[math.log10(sum(q for q, _ in _paths(p, w, k))) for k in (0, 1)] for w in LATTICE_WORDS]
+    assert np.allclose(p.score(LATTICE_WORDS), want, rtol=1e-9)
+    monkeypatch.setattr(lattice, "CELLS", 1)  # words one by one
+    assert np.allclose(p.score(LATTICE_WORDS), want, rtol=1e-9)
+    monkeypatch.setattr(lattice, "LONG", 1)  # the recursion for long words
+    assert np.allclose(p.score(LATTICE_WORDS), want, rtol=1e-9)
+    assert np.isfinite(p.score(["ab" * 5000, "漢" * 3000])).all() and p.score([]).shape == (0, 2)
+
+
+def test_lattice_expected_counts():
+    p = _lattice()
+    weight = np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [1.0, 1.0], [1.0, 1.0], [0.0, 1.0]])
+    want = np.zeros_like(p.log)
+    for w, word in enumerate(LATTICE_WORDS):
+        for k in (0, 1):
+            found = list(_paths(p, word, k))
+            total = sum(q for q, _ in found)
+            for q, pieces in found:
+                np.add.at(want[:, k], pieces, weight[w, k] * q / total)
+    assert np.allclose(p.expected(LATTICE_WORDS, weight), want, atol=1e-9)
+
+
+def test_whole_words_sum_to_one():
+    c = np.array([[5, 0], [1, 2], [0, 7], [1, 1], [0, 0]])
+    spelled = np.log10(np.array([[0.1, 0.2], [0.2, 0.2], [0.3, 0.1], [0.1, 0.1], [0.3, 0.4]]))
+    totals = [(7, 3, 0.6), (10, 3, 0.3)]
+    got = 10 ** lattice.with_whole(spelled, c, totals, (17, 4, 0.5))
+    assert np.allclose(got.sum(0), 1.0)
+    want = (5 - 0.6) / 7 + 0.6 * 3 / 7 * ((5 - 0.5) / 17 + 0.5 * 4 / 17 * 0.1)
+    assert math.isclose(got[0, 0], want, rel_tol=1e-9)
+    assert (lattice.with_whole(spelled, c * 0, totals, (0, 0, 0.1)) == spelled).all()
+
+
+def test_language_model_beats_counts_on_held_out_texts(spark):
+    """Over words that a generator draws for two languages, the lattice describes held-out texts better than the base."""
+    rng = random.Random(8)
+    parts = {"aa": ["an", "the", "ing", "er", "on"], "bb": ["sch", "keit", "un", "ge", "lich"]}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 4))) for _ in range(300)] for k, v in parts.items()}
+    rows = [(i, " ".join(words[k][min(299, int(rng.expovariate(0.02)))] for _ in range(60)), k) for i in range(300) for k in [rng.choice(["aa", "bb"])]]
+    plain = lattice.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    one = lattice.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string").drop("lang"))
+    total = lambda d, c: sum(r[c] for r in d.where("held_out").collect())
+    assert total(plain, "score") > total(one, "score")
+    assert total(plain, "score") > total(plain, "base_score")
 
 
 def test_language_model(spark, sf):
