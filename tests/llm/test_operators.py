@@ -192,6 +192,15 @@ def test_lattice_sums_all_segmentations(monkeypatch):
     assert np.isfinite(p.score(["ab" * 5000, "漢" * 3000])).all() and p.score([]).shape == (0, 2)
 
 
+def test_vocabulary_finds_all_pieces():
+    voc = lattice.vocabulary_of(lattice.VOCABULARY)
+    for text in ("", " the the", " naïve 日本 ", " " + "ab" * 40 + " x\U0001f600y"):
+        found = {(int(at), int(p), n) for ats, ps, n in voc.found(text) for at, p in zip(ats, ps, strict=True)}
+        pieces = {" " + x: i for x, i in voc.first.items() if x} | voc.inner
+        ends = [(i, j) for i in range(len(text)) for j in range(i + 1, len(text) + 1)]
+        assert found == {(i, pieces[text[i:j]], j - i) for i, j in ends if text[i:j] in pieces}
+
+
 def test_lattice_expected_counts():
     p = _lattice()
     weight = np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [1.0, 1.0], [1.0, 1.0], [0.0, 1.0]])
