@@ -8,6 +8,11 @@ Repeated windows are found in the array itself: if all window hashes differ, not
 repeats (the usual case); else the windows are sorted as strings with their places, equal
 neighbours mark their places, and the marked places' words are counted once each.
 
+``judge()`` follows the SQL of op8, whose ``stop_share`` asks for a listed word in every
+text. ``keep()``, which drops rows, asks for frequent words only of texts of ``JUDGED_WORDS``
+words and more whose ``lang`` has a list in ``FREQUENT``; a row without a ``lang`` is not
+judged by this rule.
+
 Defined results: a null or empty text has no words, so it fails; texts of any length are
 measured whole; ties and repeated rows do not matter, as each row is judged by itself;
 extra columns are kept by ``keep()`` and ignored by ``judge()``.
@@ -23,6 +28,18 @@ from .common import bind, table, words_of
 #: Frequent words of the corpus languages.
 STOP_WORDS = ("the", "of", "and", "to", "in", "that", "is", "la", "le", "de", "et", "les", "des", "une", "un", "el", "que", "y", "en", "los", "der", "die", "und", "das", "sich", "von", "zu", "nicht")
 
+#: Frequent words by language, for ``keep()``; the SQL of op8 has ``STOP_WORDS``.
+FREQUENT = {
+    "en": "the of and to in that is a it for was on with as be by this are at from an he or not have had his her they you we but which i she were been has will would can no if so".split(),
+    "fr": "de la le et les des en un du une que pour est par qui dans avec sur pas au ou il elle ne se ce plus son sa ses je nous vous on mais aux cette sont à l d".split(),
+    "es": "de la que el en y los se del las un por con no su una para es al lo a o como más pero sus le ya este sí porque esta entre cuando muy sin sobre también".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im nicht dem ein eine als auch es an er sie wir ich hat bei aus nach wie zum war noch nur oder einen einer".split(),
+}
+#: The share of frequent words is judged from so many words on: 1 / 0.01 of ``stop_share``.
+JUDGED_WORDS = 100
+#: Stripped from both ends of a word before it is looked up.
+PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”„‘’¿¡…*_-–—|&%#$"
+
 #: (measure, least, most), either may be None. Shares are of words or lines.
 RULES = (
     ("n_words", 10, None),
@@ -34,6 +51,9 @@ RULES = (
     ("longest_word", None, 1000),
 )
 
+#: What ``keep()`` applies: the same, with ``frequent_share`` for ``stop_share``.
+KEEP_RULES = tuple(("frequent_share", *r[1:]) if r[0] == "stop_share" else r for r in RULES)
+
 
 def _repeat_words(words: Column, width: int = 5) -> Column:
     """Words that lie in windows of ``width`` words found twice or more in the text."""
@@ -73,6 +93,7 @@ def measures(text: Column) -> dict[str, Column]:
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _repeat_words(words),
         "n_stop": F.size(F.filter(words, lambda w: F.array_contains(stop, F.lower(w)))).cast("long"),
+        "n_frequent": F.size(F.filter(words, lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)).isin(*sorted({x for xs in FREQUENT.values() for x in xs})))).cast("long"),
         "longest_word": F.coalesce(F.array_max(F.transform(words, F.char_length)), F.lit(0)).cast("long"),
     }
 
@@ -81,6 +102,7 @@ RATIOS = {
     "word_length": ("word_chars", "n_words"),
     "symbol_share": ("n_symbols", "n_words"),
     "stop_share": ("n_stop", "n_words"),
+    "frequent_share": ("n_frequent", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
 }
@@ -94,6 +116,8 @@ def compiled(rules=RULES) -> Column:
         if name in RATIOS:
             top, bottom = RATIOS[name]
             value = F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
+        if name == "frequent_share":
+            value = F.when(F.col("_listed") & (F.col("n_words") >= JUDGED_WORDS), value).otherwise(F.lit(1.0))
         if least is not None:
             ok = ok & (value >= F.lit(least))
         if most is not None:
@@ -118,9 +142,10 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop", "longest_word")
 
 
-def keep(docs: DataFrame, rules=RULES) -> DataFrame:
+def keep(docs: DataFrame, rules=KEEP_RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with exactly the columns of ``docs``."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
+    listed = F.coalesce(F.lower("lang").isin(*FREQUENT), F.lit(False)) if "lang" in docs.columns else F.lit(False)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"), listed.alias("_listed"))
     m = measured(packed, "_text")
     return m.where((~F.expr(BASE_FAILED)) & compiled(rules)).select("_row.*")
 
