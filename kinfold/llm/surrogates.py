@@ -10,7 +10,7 @@ Numbers and addresses go through a keyed Feistel permutation of all values of th
 (with cycle walking), so different entities of a shape cannot meet. Card numbers keep their
 issuer digit and a right check digit, IBANs their country and right check digits, IPv4
 addresses their private or public range. Name parts are built of syllables of their script
-by a keyed hash.
+by a keyed hash; each further attempt takes more syllables, so names do not run out.
 
 Collision check: over the distinct entities of the whole corpus, no two may share a
 surrogate and none may equal a real entity. Those that fail are tried again with the next
@@ -40,6 +40,7 @@ from .common import stage, table
 KEY = "kinfold-demo-key"  # a parameter; production passes its own secret
 BROADCAST_ROWS = 100_000
 ROUNDS = 60
+MOST_SYLLABLES = 24  # what the 128 bits of a hash give
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -165,7 +166,7 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
         _, script, role = kind.split(":", 2)
         x, syl = _keyed(k, tweak, value), SYLLABLES[script]
         out = ""
-        for _ in range(1 if script == "cjk" and role == "surname" and attempt < 8 else 2 if script == "cjk" else 3):
+        for _ in range(min(MOST_SYLLABLES, (1 if role == "surname" else 2) + attempt // 2 if script == "cjk" else 3 + attempt)):
             x, d = divmod(x, len(syl))
             out += syl[d]
         return out + ENDINGS[script][role]
