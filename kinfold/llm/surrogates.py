@@ -1,7 +1,8 @@
 """PII surrogates: detected entities get keyed replacements of the same type, script, gender and format.
 
 Entities are e-mail addresses, phone, card and account numbers, social security numbers,
-IBANs, IPv4 addresses, and names after a title (the title gives the gender). An entity's
+IBANs, IPv4 addresses, and names after a title (the title gives the gender) or, in CJK,
+before an honorific, with further mentions of these names in the same text. An entity's
 canonical form (digits alone, lower case) decides its surrogate, so every mention of it, in
 any punctuation and in any document, gets the same one; the mention's own punctuation and
 case are kept.
@@ -28,6 +29,7 @@ import hashlib
 import ipaddress
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -61,6 +63,10 @@ _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _CAP = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-ЯЁ][а-яё-]+|[Α-ΩΆ-Ώ][α-ωά-ώ-]+)"
 NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? ({_CAP}(?: {_CAP}){{0,2}})")
 CJK_NAME = re.compile(r"([一-鿿]{2,3})(先生|女士|小姐)")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_POSSESSIVE = re.compile(r"(?:['’]s|['’-]+)$")
+_CJK_RUN = re.compile("[一-鿿]{2,}")
 
 #: Syllables and endings of names, by script.
 SYLLABLES = {
@@ -178,6 +184,77 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "cjk" if c >= "一" else "latin"
 
 
+def _free(found: list, spans: list) -> list:
+    """Those of ``spans`` that overlap none of ``found``; both in order and apart."""
+    starts = [x[0] for x in found]
+    out = []
+    for s in spans:
+        i = bisect_left(starts, s[1])
+        if not i or found[i - 1][1] <= s[0]:
+            out.append(s)
+    return out
+
+
+def _again(text: str, names: list[list[tuple[str, str]]]) -> list[tuple[int, int, str, str]]:
+    """All capitalised mentions of ``names``, each a list of (kind, word).
+
+    A word with several kinds takes that of its neighbour's name, else that of a given name
+    before another name and of a surname elsewhere.
+    """
+    kinds: dict[str, list[str]] = {}
+    pairs: dict[tuple[str, str], tuple[str, str]] = {}
+    for name in names:
+        for kind, word in name:
+            if kind not in kinds.setdefault(word, []):
+                kinds[word].append(kind)
+        for (k, a), (l, b) in zip(name, name[1:], strict=False):
+            pairs.setdefault((a, b), (k, l))
+    seen: list[tuple[int, int, str]] = []
+    for m in _TOKEN.finditer(text):
+        word = m[0].lower()
+        core = _POSSESSIVE.sub("", word)
+        if word in kinds:
+            seen.append((*m.span(), word))
+        elif core in kinds:
+            seen.append((m.start(), m.start() + len(core), core))
+        else:  # parts of a compound name
+            seen += [(m.start() + p.start(), m.start() + p.end(), p[0].lower()) for p in _LETTERS.finditer(m[0]) if p[0].lower() in kinds]
+    seen = [x for x in seen if text[x[0]].isupper()]
+    out, before = [], None
+    for i, (a, b, word) in enumerate(seen):
+        after = seen[i + 1][2] if i + 1 < len(seen) and text[b : seen[i + 1][0]] == " " else None
+        if before and (before, word) in pairs:
+            kind = pairs[before, word][1]
+        elif after and (word, after) in pairs:
+            kind = pairs[word, after][0]
+        else:
+            kind = next((k for k in kinds[word] if k.endswith(":surname") != bool(after)), kinds[word][0])
+        out.append((a, b, kind, word))
+        before = word if after else None
+    return out
+
+
+def _cjk_again(text: str, names: list[tuple[str, str]]) -> list[tuple[int, int, str, str]]:
+    """All mentions of CJK ``names`` (name, kind of the given name) as a whole, and of their given names of two characters."""
+    whole, given = {}, {}
+    for name, kind in names:
+        whole.setdefault(name, kind)
+        if len(name) > 2:
+            given.setdefault(name[1:], kind)
+    out = []
+    for m in _CJK_RUN.finditer(text):
+        a = m.start()
+        while a < m.end() - 1:
+            name = next((text[a : a + n] for n in (3, 2) if a + n <= m.end() and text[a : a + n] in whole), None)
+            if name:
+                out += [(a, a + 1, "name:cjk:surname", name[0]), (a + 1, a + len(name), whole[name], name[1:])]
+            elif text[a : a + 2] in given:
+                name = text[a : a + 2]
+                out.append((a, a + 2, given[name], name))
+            a += len(name or " ")
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of all entities, in order and apart; earlier kinds win."""
     found: list[tuple[int, int, str, str]] = []
@@ -209,16 +286,30 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     cut = len(re.match(r"\+(\d{1,3})(?=[ .(-])", m[0])[1]) if re.match(r"\+\d{1,3}[ .(-]", m[0]) else 0
                     lead = value[:cut]
                     add(*m.span(), "phone" if lead in ("", "1") else f"phone:{lead}", value[cut:])
+    found.sort()
+    titled, names = [], []
     for m in NAME.finditer(text):
         words = list(re.finditer(_CAP, m[2]))
+        names.append([])
         for i, w in enumerate(words):
             role = "surname" if i == len(words) - 1 else f"given:{_GENDER[m[1]]}"
-            add(m.start(2) + w.start(), m.start(2) + w.end(), f"name:{_script(w[0])}:{role}", w[0].lower())
+            word = _POSSESSIVE.sub("", w[0])
+            at = m.start(2) + w.start()
+            names[-1].append((f"name:{_script(word)}:{role}", word.lower()))
+            titled.append((at, at + len(word), *names[-1][-1]))
+    found = sorted(found + _free(found, titled))
+    if names:
+        found = sorted(found + _free(found, _again(text, names)))
     if _CJK.search(text):
+        before, cjk = [], []
         for m in CJK_NAME.finditer(text):
-            add(m.start(1), m.start(1) + 1, "name:cjk:surname", m[1][0])
-            add(m.start(1) + 1, m.end(1), f"name:cjk:given:{'m' if m[2] == '先生' else 'f'}", m[1][1:])
-    return sorted(found)
+            kind = f"name:cjk:given:{'m' if m[2] == '先生' else 'f'}"
+            cjk.append((m[1], kind))
+            before += [(m.start(1), m.start(1) + 1, "name:cjk:surname", m[1][0]), (m.start(1) + 1, m.end(1), kind, m[1][1:])]
+        found = sorted(found + _free(found, before))
+        if cjk:
+            found = sorted(found + _free(found, _cjk_again(text, cjk)))
+    return found
 
 
 _DIGIT = re.compile(r"\d")
