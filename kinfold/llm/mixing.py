@@ -64,9 +64,9 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS, weights: tuple[int, ...] = (
     return t.withColumn("target", F.least(F.col("_cap"), F.col("weight") * F.coalesce(level, F.lit(0.0)))).drop("_cap", "_level", "_k")
 
 
-def packed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with their place in their source's stream, sources with blocks and draws), both staged."""
-    slim = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("_th"))
+def packed(docs: DataFrame, seed: int, key: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents with their place in their source's stream and the columns ``key``, sources with blocks and draws), both staged."""
+    slim = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("_th"), *key)
     slim = slim.withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     slim = stage(slim, "mix-sizes")
     sizes = slim.groupBy("_src", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
@@ -105,29 +105,36 @@ def pieces(placed: DataFrame) -> DataFrame:
     return p.withColumn("_words", F.least(F.col("_off") + F.col("size"), (F.col("_block") + 1) * BLOCK) - F.greatest(F.col("_off"), F.col("_block") * BLOCK))
 
 
-def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source for every row of ``docs``."""
-    placed, sources = packed(docs, seed)
+def placed_and_taken(docs: DataFrame, seed: int, key: tuple[str, ...] = ()) -> DataFrame:
+    """What ``mixed()`` gives, with each row's source and place in its stream (``_src``, ``_off``) and the columns ``key``."""
+    placed, sources = packed(docs, seed, key)
     uses = draws(sources, seed).groupBy("_src", "_block").agg(F.count("*").alias("_uses"))
-    keys = ["doc_id", "_src", "_off", "size", "source_size", "target", "source"]
+    keys = ["doc_id", "_src", "_off", "size", "source_size", "target", "source", *key]
     # the planner takes the draws for as small as the sources that they are exploded from
     got = pieces(placed).join(uses.hint("shuffle_hash"), ["_src", "_block"], "left")
     got = got.groupBy(*keys).agg(F.coalesce(F.sum(F.col("_words") * F.col("_uses")), F.lit(0).cast("long")).alias("taken"))
     none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
-    return got.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return got.unionByName(none)
+
+
+def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source for every row of ``docs``."""
+    return placed_and_taken(docs, seed).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def repeated(docs: DataFrame, seed: int = 11) -> DataFrame:
     """``docs`` with each row as often as the mix takes its words: taken / size, the fraction by a seeded coin.
 
-    Rows with equal ids share one coin and their mean. Columns stay as they are.
+    Each row has its own share and coin, also among rows of equal ids: its place in its
+    source's stream is the coin's key. The rows are staged with a number, by which they find
+    their share again. Columns stay as they are.
     """
-    m = mixed(docs, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
-    coin = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit("coin")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    m = m.withColumn("_n", F.coalesce(F.floor(F.try_divide("_t", "_s") + coin), F.lit(0).cast("long"))).where("_n > 0").select("_id", "_n")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
-    rows = rows.join(m, F.col("_doc").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
+    held = stage(held, "mix-rows")
+    m = placed_and_taken(held.select("_row.doc_id", "_row.source", "_row.text", "_rid"), seed, ("_rid",))
+    coin = F.pmod(F.xxhash64("doc_id", "_src", "_off", F.lit(seed), F.lit("coin")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    m = m.withColumn("_n", F.coalesce(F.floor(F.try_divide("taken", "size") + coin), F.lit(0).cast("long"))).where("_n > 0").select("_rid", "_n")
+    return held.join(m, "_rid").withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
