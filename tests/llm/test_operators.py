@@ -146,10 +146,13 @@ def test_wand_retrieves_all_above_threshold():
         assert got == {d for d, x in scores.items() if x >= 1.0 - 1e-9}
 
 
-def _lattice(copies=2):
-    rng = random.Random(5)
-    n = lattice.Lattice(lattice.VOCABULARY).model.get_piece_size()
-    return lattice.Lattice(lattice.VOCABULARY, np.array([[rng.random() ** 8 * 50 for _ in range(copies)] for _ in range(n)]))
+CALIBRATED = (lattice.Calibration(), lattice.Calibration(1.7, 20.0, 9.0, 0.2, 0.01, 0.4))
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    with open(lattice.VOCABULARY, "rb") as f:
+        return lattice.vocabulary_of(f.read())
 
 
 def _paths(p, word, k):
@@ -169,20 +172,20 @@ def _paths(p, word, k):
             for q, more in rest(i + 1):
                 yield math.prod(map(prob, spelled)) * q, [*spelled, *more]
 
-    mark = p.first.get("", int(p.byte[32]))
+    stop = 1 - CALIBRATED[k].inner
     for q, more in rest(0):
-        yield prob(mark) * q, [mark, *more]
+        yield CALIBRATED[k].mark * q * stop, [None, *more]
     for j in range(1, len(word) + 1):
         if (x := p.first.get(word[:j])) is not None:
             for q, more in rest(j):
-                yield prob(x) * q, [x, *more]
+                yield prob(x) * q * stop, [x, *more]
 
 
 LATTICE_WORDS = ["thing", "réeaux", "a", "漢字x", "zq", "andonou"]
 
 
-def test_lattice_sums_all_segmentations(monkeypatch):
-    p = _lattice()
+def test_lattice_sums_all_segmentations(monkeypatch, pieces):
+    p = lattice.Lattice(pieces, CALIBRATED)
     want = [[math.log10(sum(q for q, _ in _paths(p, w, k))) for k in (0, 1)] for w in LATTICE_WORDS]
     assert np.allclose(p.score(LATTICE_WORDS), want, rtol=1e-9)
     monkeypatch.setattr(lattice, "CELLS", 1)  # words one by one
@@ -192,50 +195,55 @@ def test_lattice_sums_all_segmentations(monkeypatch):
     assert np.isfinite(p.score(["ab" * 5000, "漢" * 3000])).all() and p.score([]).shape == (0, 2)
 
 
-def test_vocabulary_finds_all_pieces():
-    voc = lattice.vocabulary_of(lattice.VOCABULARY)
+def test_calibrated_scores_are_shares(pieces):
+    for c in CALIBRATED:
+        w = np.exp(pieces.weights(c))
+        named = [i for x, i in pieces.first.items() if x]
+        assert math.isclose(w[named].sum() + c.mark, 1.0)
+        assert math.isclose(w[list(pieces.inner.values())].sum() + w[pieces.byte].sum(), c.inner)
+        # among pieces of one kind, the file's scores alone decide the order
+        long = sorted((i for x, i in pieces.inner.items() if len(x) > 1), key=lambda i: pieces.scores[i])
+        assert (np.diff(w[long]) >= 0).all()
+
+
+def test_vocabulary_finds_all_pieces(pieces):
     for text in ("", " the the", " naïve 日本 ", " " + "ab" * 40 + " x\U0001f600y"):
-        found = {(int(at), int(p), n) for ats, ps, n in voc.found(text) for at, p in zip(ats, ps, strict=True)}
-        pieces = {" " + x: i for x, i in voc.first.items() if x} | voc.inner
+        found = {(int(at), int(p), n) for ats, ps, n in pieces.found(text) for at, p in zip(ats, ps, strict=True)}
+        known = {" " + x: i for x, i in pieces.first.items() if x} | pieces.inner
         ends = [(i, j) for i in range(len(text)) for j in range(i + 1, len(text) + 1)]
-        assert found == {(i, pieces[text[i:j]], j - i) for i, j in ends if text[i:j] in pieces}
-
-
-def test_lattice_expected_counts():
-    p = _lattice()
-    weight = np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [1.0, 1.0], [1.0, 1.0], [0.0, 1.0]])
-    want = np.zeros_like(p.log)
-    for w, word in enumerate(LATTICE_WORDS):
-        for k in (0, 1):
-            found = list(_paths(p, word, k))
-            total = sum(q for q, _ in found)
-            for q, pieces in found:
-                np.add.at(want[:, k], pieces, weight[w, k] * q / total)
-    assert np.allclose(p.expected(LATTICE_WORDS, weight), want, atol=1e-9)
-
-
-def test_whole_words_sum_to_one():
-    c = np.array([[5, 0], [1, 2], [0, 7], [1, 1], [0, 0]])
-    spelled = np.log10(np.array([[0.1, 0.2], [0.2, 0.2], [0.3, 0.1], [0.1, 0.1], [0.3, 0.4]]))
-    totals = [(7, 3, 0.6), (10, 3, 0.3)]
-    got = 10 ** lattice.with_whole(spelled, c, totals, (17, 4, 0.5))
-    assert np.allclose(got.sum(0), 1.0)
-    want = (5 - 0.6) / 7 + 0.6 * 3 / 7 * ((5 - 0.5) / 17 + 0.5 * 4 / 17 * 0.1)
-    assert math.isclose(got[0, 0], want, rel_tol=1e-9)
-    assert (lattice.with_whole(spelled, c * 0, totals, (0, 0, 0.1)) == spelled).all()
-
-
-def test_language_model_beats_counts_on_held_out_texts(spark):
-    """Over words that a generator draws for two languages, the lattice describes held-out texts better than the base."""
+        assert found == {(i, known[text[i:j]], j - i) for i, j in ends if text[i:j] in known}
+
+
+def test_counts_and_lattice_sum_to_one():
+    c, n, v, d = np.array([5, 1, 7, 2, 0]), 15, 4, 0.4
+    spelled = np.log10([0.1, 0.2, 0.3, 0.1, 0.3])
+    got = 10 ** lattice.with_words(spelled, c, n, v, d)
+    assert math.isclose(got.sum(), 1.0) and math.isclose(got[4], d * v / n * 0.3)
+    assert (lattice.with_words(spelled, c * 0, 0, 0, 0.1) == spelled).all()
+
+
+def test_language_model_sums_paths_of_whole_texts(spark, pieces):
+    """A table's scores against the enumeration of all paths of all words, and the calibration against all others."""
+    rows = [(i, " ".join(LATTICE_WORDS[(i * k) % 6] for k in range(i % 5)) or None) for i in range(40)]
+    got = {r["doc_id"]: r["score"] for r in lattice.scored(spark.createDataFrame(rows, "doc_id long, text string"), calibrations=CALIBRATED).collect()}
+    p = lattice.Lattice(pieces, CALIBRATED)
+    word = [{w: math.log10(sum(q for q, _ in _paths(p, w, k))) for w in LATTICE_WORDS} for k in (0, 1)]
+    split = lambda t: (t or "").split()
+    train = [split(t) for i, t in rows if not lattice.held_out(i)]
+    end = len(train) / (len(train) + sum(map(len, train)))
+    best = max((0, 1), key=lambda k: sum(word[k][w] for ws in train for w in ws))
+    for i, t in rows:
+        want = sum(word[best][w] + math.log10(1 - end) for w in split(t)) + math.log10(end)
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
+def test_words_describe_held_out_texts_better_than_plain_counts(spark):
     rng = random.Random(8)
-    parts = {"aa": ["an", "the", "ing", "er", "on"], "bb": ["sch", "keit", "un", "ge", "lich"]}
-    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 4))) for _ in range(300)] for k, v in parts.items()}
-    rows = [(i, " ".join(words[k][min(299, int(rng.expovariate(0.02)))] for _ in range(60)), k) for i in range(300) for k in [rng.choice(["aa", "bb"])]]
-    plain = lattice.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    one = lattice.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string").drop("lang"))
-    total = lambda d, c: sum(r[c] for r in d.where("held_out").collect())
-    assert total(plain, "score") > total(one, "score")
-    assert total(plain, "score") > total(plain, "base_score")
+    words = ["".join(rng.choice(["an", "the", "ing", "er", "on"]) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    rows = [(i, " ".join(words[min(2999, int(rng.expovariate(0.001)))] for _ in range(30))) for i in range(200)]
+    out = lattice.scored(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    total = lambda c: sum(r[c] for r in out)
+    assert total("score_with_words") > total("base_score")
 
 
 def test_language_model(spark, sf):
@@ -244,13 +252,15 @@ def test_language_model(spark, sf):
     tokens = {i: [*x.encode().lower().split(), b" end"] for i, x in t.items()}
     c = Counter(w for i, ws in tokens.items() if not split[i] for w in ws)
     n, v = sum(c.values()), len(c)
+    first = None
     for heavy in (200_000, 50):
         got = {r["doc_id"]: r for r in lattice.scored(spark.read.parquet(f"{sf}/documents.parquet"), heavy=heavy).collect()}
         for i, ws in tokens.items():
             r = got[i]
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (split[i], len(ws), sum(c[w] > 0 for w in ws), n)
             assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
-            assert r["score"] < 0
+            assert r["score"] < 0 and (first is None or math.isclose(r["score"], first[i]["score"], rel_tol=1e-9))
+        first = got
 
 
 def test_surrogates(spark):
