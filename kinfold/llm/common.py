@@ -6,6 +6,7 @@ Every staged table is Parquet in the folder that the cluster names in
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,11 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset (tests), a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's ``spark.checkpoint.dir``; only where it is unset and all runs on this machine (tests), a folder of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
     if not at:
-        at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="kinfold-")
-        shared_dir.own = at
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = shared_dir.own = tempfile.mkdtemp(prefix="kinfold-")
     return at.rstrip("/")
 
 
@@ -67,12 +69,32 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(df: DataFrame, group: list[str], order: list[Column], bucket: Column, value: str, into: str) -> DataFrame:
-    """``into`` = the sum of ``value`` over all earlier rows of ``group``, in two levels.
+#: Bucket sums that one task may add up; more are added up by buckets of buckets.
+BUCKETS_PER_TASK = 4096
 
-    ``bucket`` must be nondecreasing along ``order`` within a group, so that a hot group is
-    spread over many buckets: rows are summed in their bucket, and the buckets' own sums
-    (a small table) give each bucket's start. No task ever holds a whole group.
+
+def _starts(sums: DataFrame, group: list[str], n_buckets: int) -> DataFrame:
+    """Rows (group, _kb, _ks) to (group, _kb, _k0): the sum of ``_ks`` over all earlier buckets of the group."""
+    from pyspark.sql import Window
+
+    zero = F.lit(0).cast("long")
+    before = lambda *by: Window.partitionBy(*(by or [F.lit(0)])).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
+    if n_buckets <= BUCKETS_PER_TASK:
+        return sums.select(*group, "_kb", F.coalesce(F.sum("_ks").over(before(*group)), zero).alias("_k0"))
+    wide = sums.withColumn("_ku", F.floor(F.col("_kb") / BUCKETS_PER_TASK))
+    inner = wide.withColumn("_ki", F.coalesce(F.sum("_ks").over(before(*group, "_ku")), zero))
+    above = wide.groupBy(*group, F.col("_ku").alias("_kb")).agg(F.sum("_ks").alias("_ks"))
+    above = _starts(above, group, -(-n_buckets // BUCKETS_PER_TASK)).withColumnsRenamed({"_kb": "_ku", "_k0": "_kv"})
+    return inner.join(above, [*group, "_ku"]).select(*group, "_kb", (F.col("_ki") + F.col("_kv")).alias("_k0"))
+
+
+def running_total(df: DataFrame, group: list[str], order: list[Column], bucket: Column, n_buckets: int, value: str, into: str) -> DataFrame:
+    """``into`` = the sum of ``value`` over all earlier rows of ``group``, in two or more levels.
+
+    ``bucket`` (0 .. ``n_buckets`` - 1) must be nondecreasing along ``order`` within a group, so
+    that a hot group is spread over many buckets: rows are summed in their bucket, and the
+    buckets' own sums (a small table, itself added up by buckets) give each bucket's start. No
+    task ever holds a whole group.
     """
     from pyspark.sql import Window
 
@@ -80,6 +102,4 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], bucket:
     inner = Window.partitionBy(*group, "_kb").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_kin", F.coalesce(F.sum(value).over(inner), F.lit(0).cast("long")))
     sums = b.groupBy(*group, "_kb").agg(F.sum(value).alias("_ks"))
-    outer = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*group, "_kb", F.coalesce(F.sum("_ks").over(outer), F.lit(0).cast("long")).alias("_k0"))
-    return b.join(starts, [*group, "_kb"]).withColumn(into, F.col("_k0") + F.col("_kin")).drop("_kb", "_kin", "_k0")
+    return b.join(_starts(sums, group, n_buckets), [*group, "_kb"]).withColumn(into, F.col("_k0") + F.col("_kin")).drop("_kb", "_kin", "_k0")

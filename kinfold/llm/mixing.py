@@ -4,21 +4,28 @@
    the stream is cut into blocks of ``BLOCK`` words (the last may be shorter).
 2. Targets: source weights share the sum of all sizes; no target is over ``EPOCHS`` times its
    source, the excess going to the others by weight (water filling, in closed form).
-3. Draw: a target is worth a whole number of blocks. All drawn blocks form one pool, whose
-   places a keyed permutation deals to output shards: the counts per shard and source are
-   multinomial given their totals. (Free multinomial draws would miss the targets and, at a
-   capped source, pass the limit of three uses.)
-4. Index: a source's j-th draw is use ``j div B`` of block ``perm(j mod B)``, with one keyed
-   Feistel permutation per source and use, so no block comes again before all have come.
-5. Blocks and draws are joined by (source, block).
+3. Draw: a target is worth a whole number of draws, and all sources' draws together fill the
+   slots of the output shards. A keyed permutation of all slots deals them out, so the counts
+   of sources per output shard (``shard_counts()``) are multinomial given their totals. (Free
+   multinomial counts would miss the targets and, at a capped source, pass the limit of three
+   uses.)
+4. Index: a source's slots are numbered through all shards, from the counts of the shards
+   before. Slot j gets use ``j div B`` of block ``perm(j mod B)``, with one keyed Feistel
+   permutation per source and use, so no block comes again before all have come.
+5. Blocks and slots are joined by (source, block). ``assembled()`` gives the mix itself, a text
+   for each slot of each shard; ``mixed()`` what it takes of each document; ``repeated()`` whole
+   documents, each as often as the block that holds its first word is drawn.
 
 The permutation walks cycles until it is back in range, at most 40 steps. The grid exceeds
 the range by at most 2 sqrt(B) + 1 places, so 40 steps always suffice for B <= 380; beyond,
 a walk fails with a chance below (2 / sqrt(B)) ** 40 < 1e-39.
 
+Sources are few: their table (a row a source) is ranked in one task.
+
 Defined results: null or empty texts have size 0 and are never taken; null sources are one
-source, the last; documents with equal ids are separate rows; an empty table gives an empty
-result. Extra columns are ignored.
+source, the last; documents with equal ids are separate rows, in one place of the stream
+only if text and source are equal too; an empty table gives an empty result. Extra columns
+are ignored, and kept by ``repeated()``.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from .common import running_total, shuffle_parts, stage, table, words_of
 
 BLOCK = 64
 EPOCHS = 3
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET = 1_000
 SLOTS_PER_SHARD = 16_384
 CHUNK = 8192
 
@@ -75,14 +82,15 @@ def packed(docs: DataFrame, seed: int, key: tuple[str, ...] = ()) -> tuple[DataF
     s = s.withColumn("_drawn", F.coalesce(drawn, F.lit(0).cast("long")))
     s = s.withColumn("_from", F.coalesce(F.sum("_drawn").over(Window.partitionBy(F.lit(0)).orderBy("_src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     s = stage(s, "mix-sources")
-    h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 32))
+    most = (s.agg(F.max("_rows")).first()[0] or 0) // ROWS_PER_BUCKET + 1
+    h = F.pmod(F.xxhash64("doc_id", "_th", F.lit(seed)), F.lit(1 << 32))
     d = slim.withColumn("_h", h).join(s.select("_src", "source_size", "target", (F.floor(F.col("_rows") / ROWS_PER_BUCKET) + 1).alias("_nb")), "_src")
-    d = running_total(d, ["_src"], [F.col("_h"), F.col("doc_id"), F.col("_th"), F.col("size")], F.floor(F.col("_h") * F.col("_nb") / F.lit(float(1 << 32))), "size", "_off")
-    return d.drop("_h", "_nb", "_th"), s
+    d = running_total(d, ["_src"], [F.col("_h"), F.col("doc_id"), F.col("_th"), F.col("size")], F.floor(F.col("_h") * F.col("_nb") / F.lit(float(1 << 32))), most, "size", "_off")
+    return d.drop("_h", "_nb"), s
 
 
-def draws(sources: DataFrame, seed: int) -> DataFrame:
-    """_src, _block, shard, slot: one row for each drawn block of the whole mix."""
+def slots(sources: DataFrame, seed: int) -> DataFrame:
+    """_src, _blocks, shard, slot: the source that fills each slot of each output shard."""
     spark = sources.sparkSession
     # a stated number of partitions: the few bytes of chunk numbers would else be put into one task
     parts = max(shuffle_parts(spark), (sources.agg(F.sum("_drawn")).first()[0] or 0) // (8 * CHUNK))
@@ -91,11 +99,24 @@ def draws(sources: DataFrame, seed: int) -> DataFrame:
     chunks = s.select("_src", "_blocks", "_drawn", "_from", "_pool", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_drawn") - 1) / CHUNK))).alias("_c"))
     chunks = chunks.repartition(parts, F.col("_src"), F.col("_c"))
     last = F.least(F.col("_drawn"), (F.col("_c") + 1) * CHUNK) - 1
-    each = chunks.withColumn("_j", F.explode(F.sequence(F.col("_c") * CHUNK, last)))
+    each = chunks.withColumn("_k", F.explode(F.sequence(F.col("_from") + F.col("_c") * CHUNK, F.col("_from") + last)))
+    each = each.select("_src", "_blocks", permuted(F.col("_k"), F.col("_pool"), F.lit("pool"), F.lit(seed)).alias("_place"))
+    return each.select("_src", "_blocks", F.floor(F.col("_place") / SLOTS_PER_SHARD).alias("shard"), F.pmod("_place", F.lit(SLOTS_PER_SHARD)).alias("slot"))
+
+
+def shard_counts(sources: DataFrame, seed: int) -> DataFrame:
+    """shard, _src, n: how many slots of each output shard a source fills."""
+    return slots(sources, seed).groupBy("shard", "_src").agg(F.count("*").alias("n"))
+
+
+def draws(sources: DataFrame, seed: int) -> DataFrame:
+    """_src, _block, shard, slot: the block of each slot of the whole mix."""
+    n_shards = (sources.agg(F.sum("_drawn")).first()[0] or 0) // SLOTS_PER_SHARD + 1
+    each = slots(sources, seed).withColumn("_one", F.lit(1).cast("long"))
+    each = running_total(each, ["_src"], [F.col("shard"), F.col("slot")], F.col("shard"), n_shards, "_one", "_j")
     use = F.floor(F.col("_j") / F.col("_blocks"))
     block = permuted(F.pmod(F.col("_j"), F.col("_blocks")), F.col("_blocks"), F.col("_src"), use, F.lit(seed))
-    place = permuted(F.col("_from") + F.col("_j"), F.col("_pool"), F.lit("pool"), F.lit(seed))
-    return each.select("_src", block.alias("_block"), place.alias("_place")).select("_src", "_block", F.floor(F.col("_place") / SLOTS_PER_SHARD).alias("shard"), F.pmod("_place", F.lit(SLOTS_PER_SHARD)).alias("slot"))
+    return each.select("_src", block.alias("_block"), "shard", "slot")
 
 
 def pieces(placed: DataFrame) -> DataFrame:
@@ -105,36 +126,50 @@ def pieces(placed: DataFrame) -> DataFrame:
     return p.withColumn("_words", F.least(F.col("_off") + F.col("size"), (F.col("_block") + 1) * BLOCK) - F.greatest(F.col("_off"), F.col("_block") * BLOCK))
 
 
-def placed_and_taken(docs: DataFrame, seed: int, key: tuple[str, ...] = ()) -> DataFrame:
-    """What ``mixed()`` gives, with each row's source and place in its stream (``_src``, ``_off``) and the columns ``key``."""
-    placed, sources = packed(docs, seed, key)
-    uses = draws(sources, seed).groupBy("_src", "_block").agg(F.count("*").alias("_uses"))
-    keys = ["doc_id", "_src", "_off", "size", "source_size", "target", "source", *key]
-    # the planner takes the draws for as small as the sources that they are exploded from
-    got = pieces(placed).join(uses.hint("shuffle_hash"), ["_src", "_block"], "left")
-    got = got.groupBy(*keys).agg(F.coalesce(F.sum(F.col("_words") * F.col("_uses")), F.lit(0).cast("long")).alias("taken"))
-    none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
-    return got.unionByName(none)
+def _uses(sources: DataFrame, seed: int) -> DataFrame:
+    """_src, _block, _uses, _shards (three at most) of all blocks that are drawn."""
+    return draws(sources, seed).groupBy("_src", "_block").agg(F.count("*").alias("_uses"), F.collect_set("shard").alias("_shards"))
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source for every row of ``docs``."""
-    return placed_and_taken(docs, seed).select("doc_id", "size", "source_size", "target", "taken", "source")
+    """doc_id, size, source_size, target, taken, source, n_shards (output shards with words of it) for every row of ``docs``."""
+    placed, sources = packed(docs, seed)
+    keys = ["doc_id", "_src", "_off", "size", "source_size", "target", "source"]
+    # the planner takes the draws for as small as the sources that they are exploded from
+    got = pieces(placed).join(_uses(sources, seed).hint("shuffle_hash"), ["_src", "_block"], "left")
+    met = F.size(F.array_distinct(F.flatten(F.collect_set("_shards")))).cast("long")
+    got = got.groupBy(*keys).agg(F.coalesce(F.sum(F.col("_words") * F.col("_uses")), F.lit(0).cast("long")).alias("taken"), met.alias("n_shards"))
+    none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("n_shards"))
+    return got.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source", "n_shards")
+
+
+def assembled(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """shard, slot, source, text: the mix, a block of ``BLOCK`` words (a source's last may be shorter) for each slot.
+
+    Words are parted by single spaces. A document's words go on from its block to the next.
+    """
+    held = stage(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("_rid")), "mix-rows")
+    placed, sources = packed(held, seed, ("_rid",))
+    words = held.select("_rid", words_of(F.col("text")).alias("_ws"))
+    p = pieces(placed.join(words, "_rid"))
+    at = F.greatest(F.col("_block") * BLOCK - F.col("_off"), F.lit(0))
+    p = p.select("_src", "_block", "source", "_off", F.array_join(F.slice("_ws", (at + 1).cast("int"), F.col("_words").cast("int")), " ").alias("_part"))
+    blocks = p.groupBy("_src", "_block").agg(F.first("source").alias("source"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_off", "_part"))), lambda x: x["_part"]), " ").alias("text"))
+    return blocks.join(draws(sources, seed).hint("shuffle_hash"), ["_src", "_block"]).select("shard", "slot", "source", "text")
 
 
 def repeated(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """``docs`` with each row as often as the mix takes its words: taken / size, the fraction by a seeded coin.
+    """``docs`` with each row as often as the block that holds its first word is drawn; rows without words go.
 
-    Each row has its own share and coin, also among rows of equal ids: its place in its
-    source's stream is the coin's key. The rows are staged with a number, by which they find
-    their share again. Columns stay as they are.
+    So a document comes target / size times on average, and three times at most. The rows are
+    staged with a number, by which they find their draws again. Columns stay as they are.
     """
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
     held = stage(held, "mix-rows")
-    m = placed_and_taken(held.select("_row.doc_id", "_row.source", "_row.text", "_rid"), seed, ("_rid",))
-    coin = F.pmod(F.xxhash64("doc_id", "_src", "_off", F.lit(seed), F.lit("coin")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    m = m.withColumn("_n", F.coalesce(F.floor(F.try_divide("taken", "size") + coin), F.lit(0).cast("long"))).where("_n > 0").select("_rid", "_n")
-    return held.join(m, "_rid").withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
+    placed, sources = packed(held.select("_row.doc_id", "_row.source", "_row.text", "_rid"), seed, ("_rid",))
+    first = placed.where("size > 0").select("_rid", "_src", F.floor(F.col("_off") / BLOCK).alias("_block"))
+    n = first.join(_uses(sources, seed).hint("shuffle_hash"), ["_src", "_block"]).select("_rid", "_uses")
+    return held.join(n, "_rid").withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_uses")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,6 +331,65 @@ def test_mixing(spark, sf):
         assert abs(taken[s] - want[s]) <= 2 * mixing.BLOCK
 
 
+def test_mixing_follows_its_draws(spark, sf, monkeypatch):
+    """Counts, uses and words taken against a plain reading of the streams; without the deal, the mix is another."""
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 100)
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 20)
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").limit(60)
+    d = d.unionByName(spark.createDataFrame([(5000, None, "x"), (None, "one two three", None), (None, "one two three", None)], d.schema)).coalesce(3)
+    text = [(r["doc_id"], r["source"], re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in d.collect()]
+    placed, sources = (x.collect() for x in mixing.packed(d, 11))
+    drawn = mixing.draws(mixing.packed(d, 11)[1], 11).collect()
+    total = sum(s["_drawn"] for s in sources)
+    assert sorted((r["shard"], r["slot"]) for r in drawn) == [divmod(t, 100) for t in range(total)] and total > 200
+    blocks = {s["_src"]: s["_blocks"] for s in sources}
+    uses, shards_of = Counter((r["_src"], r["_block"]) for r in drawn), {}
+    for r in drawn:
+        shards_of.setdefault((r["_src"], r["_block"]), set()).add(r["shard"])
+    for s in sources:
+        own = [uses[s["_src"], b] for b in range(s["_blocks"])]
+        assert sum(own) == s["_drawn"] and max(own, default=0) - min(own, default=0) <= 1 and max(own, default=0) <= 3
+    assert all(0 <= r["_block"] < blocks[r["_src"]] for r in drawn)
+    counts = mixing.shard_counts(mixing.packed(d, 11)[1], 11).collect()
+    assert {(r["shard"], r["_src"]): r["n"] for r in counts} == Counter((r["shard"], r["_src"]) for r in drawn)
+    # the streams: every source's documents end to end
+    bag = {}
+    for i, s, ws in text:
+        bag.setdefault((i, s, len(ws)), []).append(ws)
+    want, copies, streams = Counter(), Counter(), {}
+    for p in sorted(placed, key=lambda r: (r["_src"], r["_off"], r["size"])):
+        stream = streams.setdefault(p["_src"], [])
+        assert p["_off"] == len(stream)
+        cells = [(p["_src"], (p["_off"] + k) // mixing.BLOCK) for k in range(p["size"])]
+        want[p["doc_id"], p["source"], p["size"], sum(uses[c] for c in cells), len(set().union(*[shards_of.get(c, set()) for c in cells]))] += 1
+        if cells and uses[cells[0]]:
+            copies[p["doc_id"]] += uses[cells[0]]
+        stream += bag[p["doc_id"], p["source"], p["size"]].pop()
+    got = lambda: Counter((r["doc_id"], r["source"], r["size"], r["taken"], r["n_shards"]) for r in mixing.mixed(d).collect())
+    assert got() == want
+    assert Counter(r["doc_id"] for r in mixing.repeated(d).collect()) == copies
+    out = {(r["shard"], r["slot"]): r["text"].split(" ") for r in mixing.assembled(d).collect()}
+    assert out == {(r["shard"], r["slot"]): streams[r["_src"]][r["_block"] * mixing.BLOCK : (r["_block"] + 1) * mixing.BLOCK] for r in drawn}
+    deal = mixing.slots
+    monkeypatch.setattr(mixing, "slots", lambda s, seed: deal(s, seed + 1))
+    assert got() != want
+
+
+def test_running_total_through_buckets_of_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from kinfold.llm import common
+
+    d = spark.range(500).select((F.col("id") % 2).alias("g"), "id", (F.col("id") % 7).alias("x"))
+    want = {}
+    for i in range(500):
+        want[i] = sum(k % 7 for k in range(i % 2, i, 2))
+    for most in (4096, 5):
+        monkeypatch.setattr(common, "BUCKETS_PER_TASK", most)
+        r = common.running_total(d, ["g"], [F.col("id")], F.floor(F.col("id") / 3), 167, "x", "s").collect()
+        assert {x["id"]: x["s"] for x in r} == want
+
+
 def test_mixing_targets_stop_at_three_times(spark):
     s = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 5), (None, 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
