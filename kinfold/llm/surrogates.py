@@ -5,28 +5,36 @@ IBANs, IPv4 addresses, and names after a title (the title gives the gender) or,
 before an honorific, with further mentions of these names in the same text. An entity's
 canonical form (digits alone, lower case) decides its surrogate, so every mention of it, in
 any punctuation and in any document, gets the same one; the mention's own punctuation and
-case are kept.
+case are kept. A given name whose title tells no gender is the same entity as with a title
+that does: that of the same text, else that of more mentions in the corpus. One word after a
+title is a surname, unless the same text has it as a given name before a surname only.
 
 Numbers and addresses go through a keyed Feistel permutation of all values of their shape
 (with cycle walking), so different entities of a shape cannot meet. Card numbers keep their
-issuer digit and a right check digit, IBANs their country and right check digits, IPv4
-addresses their private or public range. Name parts are built of syllables of their script
-by a keyed hash; each further attempt takes more syllables, so names do not run out.
-
-Collision check: over the distinct entities of the whole corpus, no two may share a
-surrogate and none may equal a real entity. Those that fail are tried again with the next
-attempt number until none is left; such exceptions are expected to be few. They go to the
-tasks in a broadcast up to ``BROADCAST_ROWS`` rows and beyond that by a join with the texts
-that hold them.
+issuer digit and a right check digit, account numbers never have one, IBANs keep their
+country and right check digits, IPv4 addresses their private, public or reserved range.
+Name parts are built of syllables of their script by a keyed hash.
+
+Collision check: over the distinct entities of the whole corpus, no two of a kind (names: of
+a script) may share a surrogate and none may equal a real one. Those that fail are tried
+again with the next attempt number, which adds a syllable to a name and a letter to an
+e-mail's local part, so these never run out and are tried until none is left. A number or
+address must keep its format, of which real values may use all (the addresses of a private
+range do): after ``FORMAT_TRIES`` attempts it keeps its first surrogate, which no other
+entity of its kind has, though it is some real value. Exceptions go to the tasks in a
+broadcast up to ``BROADCAST_ROWS`` rows and beyond that by a join with the texts that hold
+them. Texts are scanned once; they are staged with their spans and row numbers.
 
 Defined results: null and empty texts stay as they are with no entities; repeated rows get
-equal results; texts are scanned whole. Extra columns are ignored by ``replaced()``.
+equal results; texts are scanned whole; an empty table gives an empty result. Extra columns
+are ignored by ``replaced()``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import ipaddress
+import itertools
 import math
 import re
 from bisect import bisect_left
@@ -41,7 +49,7 @@ from .common import stage, table
 
 KEY = "kinfold-demo-key"  # a parameter; production passes its own secret
 BROADCAST_ROWS = 100_000
-ROUNDS = 60
+FORMAT_TRIES = 6
 MOST_SYLLABLES = 24  # what the 128 bits of a hash give
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -138,13 +146,15 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country) + '00') % 97:02d}"
 
 
-def _ip_range(value: int) -> tuple[int, int]:
-    """(first, count) of the range that the address must stay in: its private block, or the public ones."""
-    for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"):
-        block = ipaddress.ip_network(net)
+_PRIVATE = tuple(ipaddress.ip_network(net) for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"))
+
+
+def _ip_range(value: int) -> tuple[str, int, int]:
+    """(name, first, count) of the range that the address must stay in: its private block, the public or the reserved addresses."""
+    for block in _PRIVATE:
         if ipaddress.ip_address(value) in block:
-            return int(block.network_address), block.num_addresses
-    return 0, 1 << 32
+            return str(block), int(block.network_address), block.num_addresses
+    return "public" if 1 <= value >> 24 <= 223 else "reserved", 0, 1 << 32
 
 
 def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
@@ -154,25 +164,33 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, top = domain.split(".")
-        return _chars(k, tweak, local) + "@" + ".".join([_chars(k, "domain|" + (str(attempt) if attempt > ROUNDS // 2 else "0"), x) for x in labels] + [top])
+        x, more = _keyed(k, tweak, "more", value), ""
+        for _ in range(attempt):
+            x, d = divmod(x, 26)
+            more += chr(97 + d)
+        return _chars(k, tweak, local) + more + "@" + ".".join([_chars(k, "domain", x) for x in labels] + [top])
     if kind == "card":
         body = value[0] + str(permuted(k, f"{tweak}|{value[0]}|{len(value)}", int(value[1:-1]), 10 ** (len(value) - 2))).zfill(len(value) - 2)
         return body + str(-luhn(body + "0") % 10)
+    if kind == "account":
+        while luhn(value := _digits(k, tweak, value)) % 10 == 0:
+            pass  # walks the cycle on past numbers that would do as cards
+        return value
     if kind == "iban":
         rest = _chars(k, tweak + value[:2], value[4:].lower()).upper()
         return value[:2] + _iban_check(value[:2], rest) + rest
     if kind == "ip":
         x = int(ipaddress.ip_address(value))
-        first, n = _ip_range(x)
-        while True:  # walks the cycle on until it is back in a range of the same sort
-            x = first + permuted(k, tweak + str(n), x - first, n)
-            if _ip_range(x) == (first, n) and 1 <= x >> 24 <= 223:
+        own = name, first, n = _ip_range(x)
+        while True:  # walks the cycle on until it is back in its range
+            x = first + permuted(k, tweak + name, x - first, n)
+            if _ip_range(x) == own:
                 return str(ipaddress.ip_address(x))
     if kind.startswith("name:"):
         _, script, role = kind.split(":", 2)
         x, syl = _keyed(k, tweak, value), SYLLABLES[script]
         out = ""
-        for _ in range(min(MOST_SYLLABLES, (1 if role == "surname" else 2) + attempt // 2 if script == "cjk" else 3 + attempt)):
+        for _ in range(min(MOST_SYLLABLES, ((1 if role == "surname" else 2) if script == "cjk" else 3) + attempt)):
             x, d = divmod(x, len(syl))
             out += syl[d]
         return out + ENDINGS[script][role]
@@ -259,34 +277,29 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of all entities, in order and apart; earlier kinds win."""
     found: list[tuple[int, int, str, str]] = []
 
-    def add(a: int, b: int, kind: str, value: str):
-        if not any(a < y and x < b for x, y, _, _ in found):
-            found.append((a, b, kind, value))
+    def add(spans: list[tuple[int, int, str, str]]):
+        if spans:
+            found[:] = sorted(found + _free(found, spans))
 
     if "@" in text:
-        for m in EMAIL.finditer(text):
-            add(*m.span(), "email", m[0].lower())
+        add([(*m.span(), "email", m[0].lower()) for m in EMAIL.finditer(text)])
     if _DIGIT.search(text):
-        for m in IBAN.finditer(text):
-            value = m[0].replace(" ", "")
-            if _iban_check(value[:2], value[4:]) == value[2:4]:
-                add(*m.span(), "iban", value)
-        for m in NUMBER.finditer(text):
-            value = re.sub(r"\D", "", m[0])
-            add(*m.span(), "card" if luhn(value) % 10 == 0 else "account", value)
-        for m in SSN.finditer(text):
-            add(*m.span(), "ssn", re.sub(r"\D", "", m[0]))
-        for m in IPV4.finditer(text):
-            add(*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
+        ibans = [(*m.span(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text)]
+        add([x for x in ibans if _iban_check(x[3][:2], x[3][4:]) == x[3][2:4]])
+        digits = lambda m: re.sub(r"\D", "", m[0])
+        add([(*m.span(), "account" if luhn(digits(m)) % 10 else "card", digits(m)) for m in NUMBER.finditer(text)])
+        add([(*m.span(), "ssn", digits(m)) for m in SSN.finditer(text)])
+        add([(*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split("."))) for m in IPV4.finditer(text)])
         for pattern in (PHONE, PHONE_PLUS):
+            phones = []
             for m in pattern.finditer(text):
-                value = re.sub(r"\D", "", m[0])
+                value = digits(m)
                 if 9 <= len(value) <= 15:
                     # the country code stays; +1 is left out, so that both ways to write a number agree
-                    cut = len(re.match(r"\+(\d{1,3})(?=[ .(-])", m[0])[1]) if re.match(r"\+\d{1,3}[ .(-]", m[0]) else 0
-                    lead = value[:cut]
-                    add(*m.span(), "phone" if lead in ("", "1") else f"phone:{lead}", value[cut:])
-    found.sort()
+                    code = re.match(r"\+(\d{1,3})(?=[ .(-])", m[0])
+                    cut = len(code[1]) if code else 0
+                    phones.append((*m.span(), "phone" if value[:cut] in ("", "1") else f"phone:{value[:cut]}", value[cut:]))
+            add(phones)
     titled, names = [], []
     for m in NAME.finditer(text):
         words = list(re.finditer(_CAP, m[2]))
@@ -297,18 +310,30 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             at = m.start(2) + w.start()
             names[-1].append((f"name:{_script(word)}:{role}", word.lower()))
             titled.append((at, at + len(word), *names[-1][-1]))
-    found = sorted(found + _free(found, titled))
+    # a given name whose gender its title does not tell, or that stands alone after a title, is as another name has it
+    long = [x for name in names if len(name) > 1 for x in name]
+    known: dict[str, str] = {}
+    for kind, word in sorted(long, key=lambda x: x[0].endswith(":n")):
+        if ":given:" in kind:
+            known.setdefault(word, kind)
+    last = {word for kind, word in long if kind.endswith(":surname")}
+    alone = {name[0][1] for name in names if len(name) == 1} - last
+
+    def settled(kind: str, word: str) -> str:
+        return known.get(word, kind) if kind.endswith(":given:n") or word in alone else kind
+
+    add([(a, b, settled(kind, word), word) for a, b, kind, word in titled])
     if names:
-        found = sorted(found + _free(found, _again(text, names)))
+        add(_again(text, [[(settled(kind, word), word) for kind, word in name] for name in names]))
     if _CJK.search(text):
         before, cjk = [], []
         for m in CJK_NAME.finditer(text):
             kind = f"name:cjk:given:{'m' if m[2] == '先生' else 'f'}"
             cjk.append((m[1], kind))
             before += [(m.start(1), m.start(1) + 1, "name:cjk:surname", m[1][0]), (m.start(1) + 1, m.end(1), kind, m[1][1:])]
-        found = sorted(found + _free(found, before))
+        add(before)
         if cjk:
-            found = sorted(found + _free(found, _cjk_again(text, cjk)))
+            add(_cjk_again(text, cjk))
     return found
 
 
@@ -333,9 +358,9 @@ def shaped(mention: str, kind: str, canonical: str, new: str) -> str:
     return "".join(out)
 
 
-def replace(text: str, key: str, exceptions: dict[tuple[str, str], str]) -> tuple[str, Counter]:
+def replace(text: str, spans: list[tuple[int, int, str, str]], key: str, exceptions: dict[tuple[str, str], str]) -> tuple[str, Counter]:
     out, at, kinds = [], 0, Counter()
-    for a, b, kind, value in detect(text):
+    for a, b, kind, value in spans:
         new = exceptions.get((kind, value))
         if new is None:
             new = surrogate(key, kind, value)
@@ -345,11 +370,14 @@ def replace(text: str, key: str, exceptions: dict[tuple[str, str], str]) -> tupl
     return "".join([*out, text[at:]]), kinds
 
 
-def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+
+
+def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, doc_id, text) and their spans."""
     for batch in batches:
-        rows = [(r, kind, value) for r, t in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for _, _, kind, value in detect(t)]
-        rows = sorted(set(rows))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["rid", "kind", "value"])
+        spans = [[dict(zip("a b kind value".split(), x, strict=True)) for x in detect(t)] if t else [] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _SPANS)], [*batch.schema.names, "spans"])
 
 
 def _surrogates(key: str, attempt: int) -> Callable:
@@ -362,32 +390,52 @@ def _surrogates(key: str, attempt: int) -> Callable:
 
 
 _NEW = "kind string, value string, new string"
+_NAMED = "kind like 'name:%'"
+
+
+def _space(df: DataFrame) -> DataFrame:
+    """``df`` and ``space``: the kinds whose surrogates must all differ."""
+    return df.withColumn("space", F.when(F.expr(_NAMED), F.substring_index("kind", ":", 2)).otherwise(F.col("kind")))
+
+
+def _settled(entities: DataFrame) -> DataFrame:
+    """(kind, value, to): given names whose titles tell no gender, and the kind that more mentions in the corpus tell."""
+    told = entities.where("kind like 'name:%:given:m' or kind like 'name:%:given:f'").select(F.substring_index("kind", ":", 3).alias("_of"), "value", "kind", "n")
+    most = told.groupBy("_of", "value").agg(F.min(F.struct((-F.col("n")).alias("n"), "kind"))["kind"].alias("to"))
+    return entities.where("kind like 'name:%:given:n'").withColumn("_of", F.substring_index("kind", ":", 3)).join(most, ["_of", "value"]).select("kind", "value", "to")
 
 
 def resolved(entities: DataFrame, key: str) -> DataFrame:
-    """kind, value, new: the exceptions, for entities (kind, value) whose first surrogate is not theirs alone."""
-    first = stage(entities.mapInArrow(_surrogates(key, 0), _NEW), "pii-first")
-    real = entities.select("kind", F.col("value").alias("new"))
-    taken = first
-    both = first.select("kind", "new", "value").unionByName(real.withColumn("value", F.lit(None).cast("string")))
-    sums = both.groupBy("kind", "new").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("r"), F.min("value").alias("least"))
-    bad = sums.where("n > 0 and (n > 1 or r > 0)")
-    left = first.join(bad, ["kind", "new"]).where("r > 0 or value <> least").select("kind", "value")
-    left = stage(left, "pii-left")
-    done = None
-    for attempt in range(1, ROUNDS):
+    """kind, value, new: the exceptions, for entities (kind, value and optionally n, their mentions) whose first surrogate is not theirs alone."""
+    if "n" not in entities.columns:
+        entities = entities.withColumn("n", F.lit(1).cast("long"))
+    alias = stage(_settled(entities), "pii-settled")
+    entities = entities.select("kind", "value").join(alias.select("kind", "value"), ["kind", "value"], "left_anti")
+    first = stage(_space(entities.mapInArrow(_surrogates(key, 0), _NEW)), "pii-first")
+    real = first.select("space", F.col("value").alias("new")).distinct()
+    both = first.select("space", "new", F.struct("kind", "value").alias("who")).unionByName(real.withColumn("who", F.lit(None).cast("struct<kind:string,value:string>")))
+    sums = both.groupBy("space", "new").agg(F.count("who").alias("_n"), F.count_if(F.col("who").isNull()).alias("_r"), F.min("who").alias("_least"))
+    bad = sums.where("_n > 0 and (_n > 1 or _r > 0)")
+    left = stage(first.join(bad, ["space", "new"]).where((F.col("_r") > 0) | (F.struct("kind", "value") != F.col("_least"))).select("kind", "value"), "pii-left")
+    done, taken = first.select("kind", "value", "new").limit(0), first.select("space", "new")
+    for attempt in itertools.count(1):
         if left.isEmpty():
             break
-        tried = stage(left.mapInArrow(_surrogates(key, attempt), _NEW), "pii-tried")
-        free = tried.join(real, ["kind", "new"], "left_anti").join(taken.select("kind", "new"), ["kind", "new"], "left_anti")
-        won = stage(free.groupBy("kind", "new").agg(F.min("value").alias("value")).select("kind", "value", "new"), "pii-won")
-        done = won if done is None else done.unionByName(won)
-        taken = taken.unionByName(won)
+        if attempt > FORMAT_TRIES:
+            full = left.where(f"not ({_NAMED}) and kind <> 'email'")
+            done = done.unionByName(first.join(full, ["kind", "value"]).select("kind", "value", "new"))
+            left = left.where(f"{_NAMED} or kind = 'email'")
+        tried = stage(_space(left.mapInArrow(_surrogates(key, attempt), _NEW)), "pii-tried")
+        free = tried.join(real, ["space", "new"], "left_anti").join(taken, ["space", "new"], "left_anti")
+        won = free.groupBy("space", "new").agg(F.min(F.struct("kind", "value")).alias("_w")).select("_w.kind", "_w.value", "new", "space")
+        won = stage(won, "pii-won")
+        done = done.unionByName(won.select("kind", "value", "new"))
+        taken = taken.unionByName(won.select("space", "new"))
         left = stage(left.join(won, ["kind", "value"], "left_anti"), "pii-left")
-    else:
-        if not left.isEmpty():
-            raise RuntimeError("surrogates of some shape are used up")
-    return done if done is not None else first.limit(0)
+    done = stage(done, "pii-done")
+    same = alias.join(first.select(F.col("kind").alias("to"), "value", F.col("new").alias("_first")), ["to", "value"])
+    same = same.join(done.select(F.col("kind").alias("to"), "value", F.col("new").alias("_done")), ["to", "value"], "left")
+    return done.unionByName(same.select("kind", "value", F.coalesce("_done", "_first").alias("new")))
 
 
 def _replaced(key: str, shared) -> Callable:
@@ -396,9 +444,9 @@ def _replaced(key: str, shared) -> Callable:
         for batch in batches:
             texts, counts, kinds = [], [], []
             own = batch.column("own").to_pylist() if "own" in batch.schema.names else [None] * batch.num_rows
-            for t, o in zip(batch.column("text").to_pylist(), own, strict=True):
+            for t, spans, o in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), own, strict=True):
                 exceptions = {(x["kind"], x["value"]): x["new"] for x in o} if o else fixed
-                new, found = replace(t, key, exceptions) if t else (t, Counter())
+                new, found = replace(t, [(x["a"], x["b"], x["kind"], x["value"]) for x in spans], key, exceptions) if spans else (t, Counter())
                 texts.append(new)
                 counts.append(sum(found.values()))
                 kinds.append(",".join(f"{k}:{found[k]}" for k in sorted(found)))
@@ -410,16 +458,17 @@ def _replaced(key: str, shared) -> Callable:
 def replaced(docs: DataFrame, key: str = KEY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_entities, kinds (``kind:count``, comma-joined) and text with surrogates, for every row."""
     sc = docs.sparkSession.sparkContext
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    mentions = slim.select("rid", "text").mapInArrow(_entities, "rid long, kind string, value string")
-    entities = stage(mentions.select("kind", "value").distinct(), "pii-entities")
+    slim = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
+    found = stage(slim.mapInArrow(_detected, "rid long, doc_id long, text string, spans array<struct<a:int,b:int,kind:string,value:string>>"), "pii-spans")
+    mentions = found.select("rid", F.explode("spans").alias("_s")).select("rid", "_s.kind", "_s.value")
+    entities = stage(mentions.groupBy("kind", "value").agg(F.count("*").alias("n")), "pii-entities")
     exceptions = stage(resolved(entities, key), "pii-exceptions")
     out = "doc_id long, n_entities long, kinds string, text string"
     if exceptions.count() <= broadcast_rows:
         shared = sc.broadcast({(r["kind"], r["value"]): r["new"] for r in exceptions.collect()})
-        return slim.select("doc_id", "text").mapInArrow(_replaced(key, shared), out)
-    own = mentions.join(exceptions, ["kind", "value"]).groupBy("rid").agg(F.collect_list(F.struct("kind", "value", "new")).alias("own"))
-    return slim.join(own, "rid", "left").select("doc_id", "text", "own").mapInArrow(_replaced(key, None), out)
+        return found.select("doc_id", "text", "spans").mapInArrow(_replaced(key, shared), out)
+    own = mentions.distinct().join(exceptions, ["kind", "value"]).groupBy("rid").agg(F.collect_list(F.struct("kind", "value", "new")).alias("own"))
+    return found.join(own, "rid", "left").select("doc_id", "text", "spans", "own").mapInArrow(_replaced(key, None), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
