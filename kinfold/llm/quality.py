@@ -1,12 +1,14 @@
 """Quality rules: a table of thresholds compiled into one projection, without user functions.
 
-``MEASURES`` names what can be measured of a text; ``RULES`` holds (measure, least, most).
-``measures()`` and ``verdict()`` turn both into plain expressions, so the scan, the
-measures and the verdict are one stage without a shuffle.
+``measures()`` counts, ``RATIOS`` names the shares built of the counts, and ``RULES`` holds
+(measure, least, most). ``judged()`` turns all of them into one expression, a struct of
+counts and verdict, in which a text's words and lines are bound once; so the scan, the
+measures and the verdict are one stage without a shuffle, also where a filter uses them.
 
 Repeated windows are found in the array itself: if all window hashes differ, nothing
-repeats (the usual case); else the windows are sorted as strings with their places, equal
-neighbours mark their places, and the marked places' words are counted once each.
+repeats (the usual case); else the windows whose hash repeats are sorted as strings with
+their places, equal neighbours mark their places, and the marked places' words are counted
+once each.
 
 ``judge()`` follows the SQL of op8, whose ``stop_share`` asks for a listed word in every
 text. ``keep()``, which drops rows, asks for frequent words only of texts of ``JUDGED_WORDS``
@@ -55,45 +57,47 @@ RULES = (
 KEEP_RULES = tuple(("frequent_share", *r[1:]) if r[0] == "stop_share" else r for r in RULES)
 
 
+def _again(s: Column, what: str) -> Column:
+    """The places ``i`` of a sorted array of structs whose field ``what`` a neighbour shares."""
+    same = lambda a, b: F.coalesce(F.get(s, a)[what] == F.get(s, b)[what], F.lit(False))
+    return F.array_compact(F.transform(s, lambda x, k: F.when(same(k, k - 1) | same(k, k + 1), x["i"])))
+
+
 def _repeat_words(words: Column, width: int = 5) -> Column:
     """Words that lie in windows of ``width`` words found twice or more in the text."""
+    none = F.lit(0).cast("long")
 
-    def exact(w):
-        starts = F.sequence(F.lit(1), F.size(w) - (width - 1))
-        keyed = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i, width), " ").alias("g"), i.alias("i"))))
-
-        def marked(s):
-            same = lambda a, b: F.get(s, a)["g"] == F.get(s, b)["g"]
-            hit = F.transform(s, lambda x, k: F.when(F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)), x["i"]))
-            return F.array_sort(F.array_compact(hit))
+    def exact(w, hashes):
+        maybe = bind(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))), lambda s: _again(s, "h"))
+        keyed = F.array_sort(F.transform(maybe, lambda i: F.struct(F.array_join(F.slice(w, i, width), " ").alias("g"), i.alias("i"))))
 
         def covered(m):
-            gaps = F.zip_with(F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(width)).cast("long"))
-            return F.when(F.size(m) > 0, F.aggregate(gaps, F.lit(width).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
+            rest = F.greatest(F.size(m) - 1, F.lit(0))
+            gaps = F.zip_with(F.slice(m, 2, rest), F.slice(m, 1, rest), lambda b, a: F.least(b - a, F.lit(width)).cast("long"))
+            return F.when(F.size(m) > 0, F.aggregate(gaps, F.lit(width).cast("long"), lambda a, x: a + x)).otherwise(none)
 
-        return bind(bind(keyed, marked), covered)
+        return bind(bind(keyed, lambda s: F.array_sort(_again(s, "g"))), covered)
 
     def windows(w):
         hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(w) - (width - 1), F.lit(0).cast("long")).otherwise(exact(w))
+        return bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(exact(w, h)))
 
-    return F.when(F.size(words) < width + 1, F.lit(0).cast("long")).otherwise(bind(words, windows))
+    return F.when(F.size(words) < width + 1, none).otherwise(windows(words))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Counts first (they may refer to ``_words`` and ``_lines``), then the ratios built of them."""
-    t = F.coalesce(text, F.lit(""))
-    words, lines = F.col("_words"), F.col("_lines")
+def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """What can be counted of a text, its words and its lines that hold a word."""
     stop = F.array(*[F.lit(x) for x in STOP_WORDS])
+    frequent = sorted({x for xs in FREQUENT.values() for x in xs})
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _repeat_words(words),
         "n_stop": F.size(F.filter(words, lambda w: F.array_contains(stop, F.lower(w)))).cast("long"),
-        "n_frequent": F.size(F.filter(words, lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)).isin(*sorted({x for xs in FREQUENT.values() for x in xs})))).cast("long"),
+        "n_frequent": F.size(F.filter(words, lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)).isin(*frequent))).cast("long"),
         "longest_word": F.coalesce(F.array_max(F.transform(words, F.char_length)), F.lit(0)).cast("long"),
     }
 
@@ -108,16 +112,20 @@ RATIOS = {
 }
 
 
-def compiled(rules=RULES) -> Column:
-    """The threshold table as one boolean expression over the measures."""
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def compiled(count: Column, rules, listed: Column) -> Column:
+    """The threshold table as one boolean expression over the fields of ``count``."""
     ok = F.lit(True)
     for name, least, most in rules:
-        value = F.col(name)
         if name in RATIOS:
-            top, bottom = RATIOS[name]
-            value = F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
+            top, bottom = (count[n] for n in RATIOS[name])
+            value = F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+        else:
+            value = count[name]
         if name == "frequent_share":
-            value = F.when(F.col("_listed") & (F.col("n_words") >= JUDGED_WORDS), value).otherwise(F.lit(1.0))
+            value = F.when(listed & (count["n_words"] >= JUDGED_WORDS), value).otherwise(F.lit(1.0))
         if least is not None:
             ok = ok & (value >= F.lit(least))
         if most is not None:
@@ -125,29 +133,33 @@ def compiled(rules=RULES) -> Column:
     return ok
 
 
-def measured(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` and all counts. The helper arrays are dropped, so only the counts leave the stage."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    prepared = rows.select("*", words_of(F.col(text)).alias("_words"), lines.alias("_lines"))
-    return prepared.select(*[c for c in prepared.columns if c not in ("_words", "_lines")], *[c.alias(n) for n, c in measures(F.col(text)).items()])
+def judged(text: Column, rules, listed: Column | None = None) -> Column:
+    """A struct of the counts that ``rules`` need and of ``BASE``, ``base_failed`` and ``kept``."""
+    needed = {*BASE, *(n for name, _, _ in rules for n in RATIOS.get(name, (name,)))}
+
+    def counted(x):
+        return F.struct(*[c.alias(n) for n, c in measures(x["t"], x["w"], x["l"]).items() if n in needed])
 
+    def verdict(m):
+        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        kept = ~failed & compiled(m, rules, F.lit(False) if listed is None else listed)
+        return F.struct(*[m[n].alias(n) for n in sorted(needed)], failed.alias("base_failed"), kept.alias("kept"))
 
-BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+    t = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return bind(bind(F.struct(t.alias("t"), words_of(t).alias("w"), lines.alias("l")), counted), verdict)
 
 
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
-    m = measured(docs.select("doc_id", "text")).drop("text")
-    m = m.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & compiled(rules))
-    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop", "longest_word")
+    """doc_id, the base counts, base_failed, kept, and the other counts that ``rules`` need, for every row."""
+    m = docs.select("doc_id", judged(F.col("text"), rules).alias("_m")).select("doc_id", "_m.*")
+    return m.select("doc_id", *BASE, "base_failed", "kept", *[c for c in m.columns if c not in ("doc_id", *BASE, "base_failed", "kept")])
 
 
 def keep(docs: DataFrame, rules=KEEP_RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with exactly the columns of ``docs``."""
-    listed = F.coalesce(F.lower("lang").isin(*FREQUENT), F.lit(False)) if "lang" in docs.columns else F.lit(False)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"), listed.alias("_listed"))
-    m = measured(packed, "_text")
-    return m.where((~F.expr(BASE_FAILED)) & compiled(rules)).select("_row.*")
+    listed = F.coalesce(F.lower("lang").isin(*FREQUENT), F.lit(False)) if "lang" in docs.columns else None
+    return docs.where(judged(F.col("text"), rules, listed)["kept"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

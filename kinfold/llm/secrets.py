@@ -3,7 +3,12 @@
 Two first-order Markov models over characters are trained from labelled strings, one of
 random strings and one of ordinary words. A long run of token characters is a secret if the
 first model explains it better by ``MIN_RATIO`` nats in all and ``MIN_PER_CHAR`` a step. The
-ratio of both models is one array literal, so scoring stays in SQL expressions.
+ratio of both models is one array literal, so scoring stays in SQL expressions. Runs are
+sought between the matches of the assignment pattern, and those that hold a key id or hex
+string of the base are left to it, so no span is found twice.
+
+Work grows with a text's length: a run is split into its characters once, and positions are
+running sums taken by chunks of chunks.
 
 Training uses a bounded sample (``SAMPLE_DOCS`` documents of the lowest seeded hash, and
 ``SAMPLE_RANDOM`` generated strings); scanning covers every whole text.
@@ -31,21 +36,18 @@ MIN_PER_CHAR = 0.5
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WIDE = len(CHARS) + 1
 
 
-def _code(s: Column, i: Column) -> Column:
-    return F.call_function("instr", F.lit(CHARS), F.substr(s, i, F.lit(1)))
-
-
 def _steps(s: Column) -> Column:
     """Codes of all character pairs of a string; empty if it has fewer than two characters."""
-    n = F.char_length(s)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: _code(s, i) * WIDE + _code(s, i + 1))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(F.split(s, ""), lambda c: F.call_function("instr", F.lit(CHARS), c))
+    pairs = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: x * WIDE + y)
+    return F.when(F.char_length(s) > 1, bind(codes, pairs)).otherwise(F.array().cast("array<int>"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -88,48 +90,69 @@ def ratio(s: Column, model: list[float]) -> Column:
     return F.aggregate(_steps(s), F.lit(0.0), lambda a, k: a + F.get(table_, k))
 
 
-def _spans(text: Column, pattern: str, kind: int, ok) -> Column:
-    """Structs (s, k, e) of the leftmost matches of ``pattern`` whose index and text ``ok`` accepts."""
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+def _running(lens: Column) -> Column:
+    """For each entry the sum of those before it. By chunks of about the root of the count, so that no long array is built step by step."""
 
-    def placed(hits):
-        gaps = F.split(text, pattern, -1)
+    def before(x, start):
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(x, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
 
-        def walk(g):
-            start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    def cut(x):
+        wide = F.ceil(F.sqrt(F.size(x))).cast("int")
+        return bind(wide, lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / c).cast("int")), lambda k: F.slice(x, k * c + 1, c)))
 
-            def step(a, i):
-                return bind(a["at"] + F.char_length(F.get(g, i)), lambda s: bind(s + F.char_length(F.get(hits, i)), lambda e: F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))).alias("out"))))
+    def joined(chunks):
+        sums = F.transform(chunks, lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n))
+        return F.flatten(F.zip_with(chunks, before(sums, F.lit(0)), before))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda a: a["out"])
+    return bind(lens, lambda x: F.when(F.size(x) > 0, bind(cut(x), joined)).otherwise(F.array().cast("array<int>")))
 
-        return F.filter(bind(gaps, walk), ok(hits))
 
-    return F.when(text.rlike(pattern), bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
+_SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
-def scanned(docs: DataFrame, model: list[float], min_ratio: float = MIN_RATIO, min_per_char: float = MIN_PER_CHAR) -> DataFrame:
-    """doc_id, text and ``base`` / ``extra``: arrays of structs (s, k, e), code points, end exclusive, by start and kind."""
-    text = F.col("_text")
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
-    long_value = lambda hits: lambda x, i: F.char_length(F.get(values, i)) >= 8
-    every = lambda hits: lambda x, i: F.lit(True)
+def _spans(text: Column, pattern: str, kind: int) -> Column:
+    """Structs (s, k, e) of the leftmost matches of ``pattern``, in order."""
+
+    def placed(m):
+        lens = F.transform(m["hits"], lambda h, i: F.char_length(F.get(m["gaps"], i)) + F.char_length(h))
+        span = lambda at, i: bind(at + F.char_length(F.get(m["gaps"], i)), lambda a: F.struct(a.alias("s"), F.lit(kind).alias("k"), (a + F.char_length(F.get(m["hits"], i))).alias("e")))
+        return F.transform(_running(lens), span)
+
+    found = bind(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
-    def filtered(pattern, kind, ok):
-        spans = _spans(text, pattern, kind, every)
-        if ok is None:
-            return spans
-        # the filter's index is the match's index, since no span has been dropped yet
-        return F.filter(spans, ok(None))
 
-    def unlikely(hits):
-        return lambda x, i: bind(ratio(F.get(hits, i), model), lambda r: (r >= min_ratio) & (r >= min_per_char * (F.char_length(F.get(hits, i)) - 1)))
+def _unlikely(text: Column, model: list[float], min_ratio: float, min_per_char: float) -> Column:
+    """Spans of runs that look random and hold no other base match."""
 
+    def judged(hit):
+        return bind(ratio(hit, model), lambda r: (r >= min_ratio) & (r >= min_per_char * (F.char_length(hit) - 1)))
+
+    def chosen(gap):
+        ok = lambda hit: ~hit.rlike(f"{ACCESS}|{HEX}") & judged(hit)
+        keep = F.transform(F.regexp_extract_all(gap, F.lit(RUN), F.lit(0)), ok)
+        return F.when(gap.rlike(RUN), bind(keep, lambda k: F.filter(_spans(gap, RUN, 4), lambda x, i: F.get(k, i)))).otherwise(F.array().cast(_SPAN))
+
+    def shifted(m):
+        at = lambda i: F.when(i > 0, F.get(m["assigned"], i - 1)["e"]).otherwise(F.lit(0))
+        move = lambda x, n: F.struct((x["s"] + n).alias("s"), x["k"].alias("k"), (x["e"] + n).alias("e"))
+        return F.flatten(F.transform(m["gaps"], lambda g, i: bind(at(i), lambda n: F.transform(chosen(g), lambda x: move(x, n)))))
+
+    parts = bind(F.struct(F.split(text, ASSIGN, -1).alias("gaps"), _spans(text, ASSIGN, 1).alias("assigned")), shifted)
+    return F.when(text.rlike(RUN), parts).otherwise(F.array().cast(_SPAN))
+
+
+def scanned(docs: DataFrame, model: list[float], min_ratio: float = MIN_RATIO, min_per_char: float = MIN_PER_CHAR) -> DataFrame:
+    """doc_id, text and ``base`` / ``extra``: arrays of structs (s, k, e), code points, end exclusive, by start and kind."""
+    text = F.col("_text")
+    # a span's index is its match's index
+    values = lambda t: F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1))
+    long = bind(values(text), lambda v: F.filter(_spans(text, ASSIGN, 1), lambda x, i: F.char_length(F.get(v, i)) >= 8))
+    assign = F.when(text.rlike(ASSIGN), long).otherwise(F.array().cast(_SPAN))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    base = F.array_sort(F.concat(filtered(ASSIGN, 1, long_value), filtered(ACCESS, 2, None), filtered(HEX, 3, None)))
-    d = d.withColumn("base", base).withColumn("_runs", _spans(text, RUN, 4, unlikely))
-    apart = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-    return d.select("doc_id", F.col("_text").alias("text"), "base", apart.alias("extra"))
+    base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 2), _spans(text, HEX, 3)))
+    return d.select("doc_id", text.alias("text"), base.alias("base"), _unlikely(text, model, min_ratio, min_per_char).alias("extra"))
 
 
 def _written(spans: Column) -> Column:
