@@ -10,10 +10,9 @@ repeats (the usual case); else the windows whose hash repeats are sorted as stri
 their places, equal neighbours mark their places, and the marked places' words are counted
 once each.
 
-``judge()`` follows the SQL of op8, whose ``stop_share`` asks for a listed word in every
-text. ``keep()``, which drops rows, asks for frequent words only of texts of ``JUDGED_WORDS``
-words and more whose ``lang`` has a list in ``FREQUENT``; a row without a ``lang`` is not
-judged by this rule.
+Frequent words are asked for only of texts of ``JUDGED_WORDS`` words and more whose ``lang``
+has a list in ``FREQUENT``; a row without a ``lang`` is not judged by this rule. ``judge()``
+gives counts and verdict of every row, ``keep()`` drops the rows that the same rules reject.
 
 Defined results: a null or empty text has no words, so it fails; texts of any length are
 measured whole; ties and repeated rows do not matter, as each row is judged by itself;
@@ -27,17 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import bind, table, words_of
 
-#: Frequent words of the corpus languages.
-STOP_WORDS = ("the", "of", "and", "to", "in", "that", "is", "la", "le", "de", "et", "les", "des", "une", "un", "el", "que", "y", "en", "los", "der", "die", "und", "das", "sich", "von", "zu", "nicht")
-
-#: Frequent words by language, for ``keep()``; the SQL of op8 has ``STOP_WORDS``.
+#: Frequent words by language.
 FREQUENT = {
     "en": "the of and to in that is a it for was on with as be by this are at from an he or not have had his her they you we but which i she were been has will would can no if so".split(),
     "fr": "de la le et les des en un du une que pour est par qui dans avec sur pas au ou il elle ne se ce plus son sa ses je nous vous on mais aux cette sont à l d".split(),
     "es": "de la que el en y los se del las un por con no su una para es al lo a o como más pero sus le ya este sí porque esta entre cuando muy sin sobre también".split(),
     "de": "der die und in den von zu das mit sich des auf für ist im nicht dem ein eine als auch es an er sie wir ich hat bei aus nach wie zum war noch nur oder einen einer".split(),
 }
-#: The share of frequent words is judged from so many words on: 1 / 0.01 of ``stop_share``.
+#: The share of frequent words is judged from so many words on: 1 / 0.01 of ``frequent_share``.
 JUDGED_WORDS = 100
 #: Stripped from both ends of a word before it is looked up.
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”„‘’¿¡…*_-–—|&%#$"
@@ -47,15 +43,12 @@ RULES = (
     ("n_words", 10, None),
     ("word_length", 1.5, 25.0),
     ("symbol_share", None, 0.25),
-    ("stop_share", 0.01, None),
+    ("frequent_share", 0.01, None),
     ("dup_line_share", None, 0.5),
     ("repeat_share", None, 0.2),
     ("longest_word", None, 1000),
 )
 
-#: What ``keep()`` applies: the same, with ``frequent_share`` for ``stop_share``.
-KEEP_RULES = tuple(("frequent_share", *r[1:]) if r[0] == "stop_share" else r for r in RULES)
-
 
 def _again(s: Column, what: str) -> Column:
     """The places ``i`` of a sorted array of structs whose field ``what`` a neighbour shares."""
@@ -87,7 +80,6 @@ def _repeat_words(words: Column, width: int = 5) -> Column:
 
 def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     """What can be counted of a text, its words and its lines that hold a word."""
-    stop = F.array(*[F.lit(x) for x in STOP_WORDS])
     frequent = sorted({x for xs in FREQUENT.values() for x in xs})
     return {
         "n_words": F.size(words).cast("long"),
@@ -96,7 +88,6 @@ def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _repeat_words(words),
-        "n_stop": F.size(F.filter(words, lambda w: F.array_contains(stop, F.lower(w)))).cast("long"),
         "n_frequent": F.size(F.filter(words, lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)).isin(*frequent))).cast("long"),
         "longest_word": F.coalesce(F.array_max(F.transform(words, F.char_length)), F.lit(0)).cast("long"),
     }
@@ -105,7 +96,6 @@ def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
 RATIOS = {
     "word_length": ("word_chars", "n_words"),
     "symbol_share": ("n_symbols", "n_words"),
-    "stop_share": ("n_stop", "n_words"),
     "frequent_share": ("n_frequent", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
@@ -133,56 +123,57 @@ def compiled(count: Column, rules, listed: Column) -> Column:
     return ok
 
 
-def judged(text: Column, rules, listed: Column | None = None) -> Column:
-    """A struct of the counts that ``rules`` need and of ``BASE``, ``base_failed`` and ``kept``."""
+def judged(docs: DataFrame, rules) -> Column:
+    """Of rows (text and maybe lang): a struct of the counts that ``rules`` need and of ``BASE``, ``base_failed`` and ``kept``."""
     needed = {*BASE, *(n for name, _, _ in rules for n in RATIOS.get(name, (name,)))}
+    listed = F.coalesce(F.lower("lang").isin(*FREQUENT), F.lit(False)) if "lang" in docs.columns else F.lit(False)
 
     def counted(x):
         return F.struct(*[c.alias(n) for n, c in measures(x["t"], x["w"], x["l"]).items() if n in needed])
 
     def verdict(m):
         failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-        kept = ~failed & compiled(m, rules, F.lit(False) if listed is None else listed)
-        return F.struct(*[m[n].alias(n) for n in sorted(needed)], failed.alias("base_failed"), kept.alias("kept"))
+        return F.struct(*[m[n].alias(n) for n in sorted(needed)], failed.alias("base_failed"), (~failed & compiled(m, rules, listed)).alias("kept"))
 
-    t = F.coalesce(text, F.lit(""))
+    t = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return bind(bind(F.struct(t.alias("t"), words_of(t).alias("w"), lines.alias("l")), counted), verdict)
 
 
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the other counts that ``rules`` need, for every row."""
-    m = docs.select("doc_id", judged(F.col("text"), rules).alias("_m")).select("doc_id", "_m.*")
+    m = docs.select("doc_id", judged(docs, rules).alias("_m")).select("doc_id", "_m.*")
     return m.select("doc_id", *BASE, "base_failed", "kept", *[c for c in m.columns if c not in ("doc_id", *BASE, "base_failed", "kept")])
 
 
-def keep(docs: DataFrame, rules=KEEP_RULES) -> DataFrame:
+def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with exactly the columns of ``docs``."""
-    listed = F.coalesce(F.lower("lang").isin(*FREQUENT), F.lit(False)) if "lang" in docs.columns else None
-    return docs.where(judged(F.col("text"), rules, listed)["kept"])
+    return docs.where(judged(docs, rules)["kept"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-MEASURE_SQL = rf"""
-w0 AS (SELECT *, row_number() OVER () AS rid, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM @docs),
+_LISTED = ", ".join(f"'{x}'" for x in FREQUENT)
+_FREQUENT = ", ".join(f"'{w}'" for w in sorted({x for xs in FREQUENT.values() for x in xs}))
+_TRIMMED = PUNCTUATION.replace("'", "''")
+SQL = rf"""
+WITH w0 AS (SELECT *, row_number() OVER () AS rid, coalesce(lower(lang) IN ({_LISTED}), false) AS listed,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 g0 AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w0 WHERE len(ws) > 5)),
 g1 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g0),
 g2 AS (SELECT rid, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 5)) AS step FROM g1 WHERE n > 1),
 g3 AS (SELECT rid, CAST(sum(step) AS BIGINT) AS n FROM g2 GROUP BY rid),
-m0 AS (SELECT w0.* EXCLUDE (ws, ls), CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+m0 AS (SELECT doc_id, listed, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(g3.n, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines,
-    CAST(len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop,
+    CAST(len(list_filter(ws, lambda x: trim(lower(x), '{_TRIMMED}') IN ({_FREQUENT}))) AS BIGINT) AS n_frequent,
     CAST(coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS longest_word FROM w0 LEFT JOIN g3 USING (rid)),
-m1 AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m0),
-m2 AS (SELECT *, (NOT base_failed AND n_words >= 10 AND word_chars / n_words BETWEEN 1.5 AND 25.0 AND n_symbols / n_words <= 0.25
-    AND n_stop / n_words >= 0.01 AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.5) AND n_repeat_words / n_words <= 0.2 AND longest_word <= 1000) AS kept FROM m1)
-"""
-SQL = "WITH " + MEASURE_SQL.replace("@docs", "documents") + """
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(kept, false) AS kept, n_lines, n_stop, longest_word FROM m2
+m1 AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m0)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_frequent, longest_word,
+    coalesce(NOT base_failed AND n_words >= 10 AND word_chars / n_words BETWEEN 1.5 AND 25.0 AND n_symbols / n_words <= 0.25
+    AND (NOT listed OR n_words < {JUDGED_WORDS} OR n_frequent / n_words >= 0.01) AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.5) AND n_repeat_words / n_words <= 0.2
+    AND longest_word <= 1000, false) AS kept FROM m1
 """

@@ -5,7 +5,8 @@ random strings and one of ordinary words. A long run of token characters is a se
 first model explains it better by ``MIN_RATIO`` nats in all and ``MIN_PER_CHAR`` a step. The
 ratio of both models is one array literal, so scoring stays in SQL expressions. Runs are
 sought between the matches of the assignment pattern, and those that hold a key id or hex
-string of the base are left to it, so no span is found twice.
+string of the base are left to it, so no span is found twice. Runs of digits and signs alone
+are numbers, not secrets.
 
 Work grows with a text's length: a run is split into its characters once, and positions are
 running sums taken by chunks of chunks.
@@ -130,7 +131,7 @@ def _unlikely(text: Column, model: list[float], min_ratio: float, min_per_char:
         return bind(ratio(hit, model), lambda r: (r >= min_ratio) & (r >= min_per_char * (F.char_length(hit) - 1)))
 
     def chosen(gap):
-        ok = lambda hit: ~hit.rlike(f"{ACCESS}|{HEX}") & judged(hit)
+        ok = lambda hit: hit.rlike("[A-Za-z]") & ~hit.rlike(f"{ACCESS}|{HEX}") & judged(hit)
         keep = F.transform(F.regexp_extract_all(gap, F.lit(RUN), F.lit(0)), ok)
         return F.when(gap.rlike(RUN), bind(keep, lambda k: F.filter(_spans(gap, RUN, 4), lambda x, i: F.get(k, i)))).otherwise(F.array().cast(_SPAN))
 
