@@ -131,19 +131,59 @@ def test_decontamination(spark, sf):
     assert got == want and want
 
 
-def test_wand_retrieves_all_above_threshold():
+@pytest.mark.parametrize("visits", [2_000_000, 30])
+def test_wand_retrieves_all_above_threshold(monkeypatch, visits):
+    """All segments that a passage scores 1 with, and no others, against sums over all postings."""
+    monkeypatch.setattr(decontam, "_VISITS", visits)
     rng = random.Random(2)
     word = lambda: f"w{min(int(rng.expovariate(0.08)), 60)}"
-    items = [(i, " ".join(word() for _ in range(rng.randrange(8, 30)))) for i in range(40)]
+    items = [(i, " ".join(word() for _ in range(rng.randrange(3, 30)))) for i in range(60)]
     index = decontam.Index(items)
-    for _ in range(60):
-        terms = sorted({index.term[w] for w in {word() for _ in range(25)} if w in index.term})
+    names = {i: w for w, i in index.term.items()}
+    lists = {names[t]: list(zip(index.segment[index.first[t] : index.first[t + 1]].tolist(), index.impact[index.first[t] : index.first[t + 1]].tolist(), strict=True)) for t in names}
+    some = 0
+    for _ in range(200):
+        words = [word().encode() for _ in range(25)]
         scores = Counter()
-        for t in terms:
-            for d, x in zip(*index.postings[t], strict=True):
+        for w in set(words):
+            for d, x in lists.get(w, []):
                 scores[d] += x
-        got = {d for b in range(index.n_blocks) for d, _ in index.wand(terms, b)}
-        assert got == {d for d, x in scores.items() if x >= 1.0 - 1e-9}
+        want = {int(index.owner[d]) for d, x in scores.items() if x >= 1.0 - 1e-9}
+        monkeypatch.setattr(index, "longest", 25)
+        ids = np.array([index.term.get(w, -1) for w in words], np.int64)
+        assert set(index.search(ids, np.array([0, 25])).get(0, {})) == want
+        some += len(want)
+    assert some > 50
+
+
+def test_items_are_found_without_their_first_words(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    long = [word() for _ in range(95)]
+    text = [(1, " ".join([word() for _ in range(300)] + long[18:] + [word() for _ in range(300)])), (2, " ".join(long[40:]))]
+    got = decontam.matches(spark.createDataFrame(text, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(long))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
+
+
+def test_several_indexes_find_what_one_finds(spark, sf, monkeypatch):
+    d, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = items.unionByName(spark.createDataFrame([(900, None), (901, "")], "item_id long, text string"))
+    found = lambda: sorted(map(tuple, decontam.matches(d, items).select("doc_id", "item_id").collect()))
+    left = lambda: sorted(r["doc_id"] for r in decontam.clean(d, items).collect())
+    one = found(), left()
+    monkeypatch.setattr(decontam, "ITEM_WORDS", 300)
+    assert len(list(decontam.indexes(items))) > 2
+    assert (found(), left()) == one
+
+
+def test_index_of_many_items_is_small():
+    rng = random.Random(6)
+    common = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.7 else f"r{rng.randrange(200_000)}" for _ in range(60))) for i in range(100_000)]
+    index = decontam.Index(items)
+    assert index.size() < 500_000_000
+    hits = index.hits([items[5][1].encode(), b"w1 w2 w3 " * 400, items[99_999][1].encode() + b" more " * 30])
+    assert [(t, i) for t, i, *_ in hits] == [(0, 5), (2, 99_999)]
 
 
 CALIBRATED = (lattice.Calibration(), lattice.Calibration(1.7, 20.0, 9.0, 0.2, 0.01, 0.4))
