@@ -8,8 +8,10 @@ holds one, so equal windows meet at equal anchors, and about one place in fifty
    known to repeat, and one of them goes on for the others; a shuffle by gram hash finds the
    rest. Hashes only choose candidates.
 2. Runs: each task sorts the suffixes (to 200 bytes) at its candidate anchors, with up to 100
-   bytes before them, merges equal ones into one with all their places, and sends each
-   partition one front-coded run: length of the prefix shared with the predecessor, and rest.
+   bytes before them, merges equal ones into one, and sends each partition one front-coded
+   run: length of the prefix shared with the predecessor, and rest. What several places of a
+   task share is repeated whatever the others have, so these places go straight to their
+   texts, spread over all tasks, and only their common suffix goes on, once a task.
 3. Merge: a loser tree over the runs keeps, for each run's head, the prefix it shares with
    the last suffix given out. Unequal prefixes decide without a look at the bytes; equal ones
    are compared from there on. The merge gives suffixes and their common prefixes.
@@ -18,8 +20,13 @@ holds one, so equal windows meet at equal anchors, and about one place in fifty
    equal pairs of these class numbers are equal windows. This is exact, byte for byte.
 5. The repeated ranges go back to their texts, where they are united and cut out.
 
+Rows are known by a hash of id and text, so equal or null ids do not meet; places of wholly
+equal rows are gathered once. All suffixes with one gram and different bytes around it meet in
+one task: as many as the texts that have those 100 bytes each in another context.
+
 Defined results: a null text is empty; texts under 200 bytes never match; wholly equal rows
-repeat each other; null ids are handled as an id. Extra columns are ignored.
+repeat each other; null ids are handled as an id; an empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,9 +77,9 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, doc_id, pos): x deals rows to tasks; pos < 0 (as -pos - 1) is known to repeat."""
+    """(x, rk, pos): x deals rows to tasks; pos < 0 (as -pos - 1) is known to repeat."""
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids = batch.column("rk")
         for a, b, data, off in chunks(batch.column("text")):
             at, h = anchors(data, off)
             order = np.argsort(h, kind="stable")
@@ -89,7 +96,7 @@ def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.where(spread, mix(h + at.astype(np.uint64), 3), h)
             text_of = np.searchsorted(off, at, side="right") - 1
             pos = at - off[text_of]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), ids.slice(a, b - a).take(pa.array(text_of)), pa.array(np.where(known, -pos - 1, pos).astype(np.int32))], ["x", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), ids.slice(a, b - a).take(pa.array(text_of)), pa.array(np.where(known, -pos - 1, pos).astype(np.int32))], ["x", "rk", "pos"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +125,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _places(t: pa.Table, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     pos = t.column("pos").to_numpy()[rows]
-    out = pa.table({"doc_id": t.column("doc_id").take(pa.array(rows)), "pos": pa.array(np.where(pos < 0, -pos - 1, pos).astype(np.int32))})
+    out = pa.table({"rk": t.column("rk").take(pa.array(rows)), "pos": pa.array(np.where(pos < 0, -pos - 1, pos).astype(np.int32))})
     yield from out.to_batches()
 
 
@@ -223,21 +230,32 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             rows = range(at, min(at + 256, batch.num_rows))
             part = batch.slice(at, len(rows))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([pack(texts[r].as_py() or b"") for r in rows], pa.binary())], ["doc_id", "th", "text"])
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in ("rk", "doc_id", "th")], pa.array([pack(texts[r].as_py() or b"") for r in rows], pa.binary())], ["rk", "doc_id", "th", "text"])
 
 
 def _runs(n_parts: int) -> Callable:
+    """Texts with their places to rows (part, run); a part below 0 holds ranges that need no merge."""
+
     def flush(found: dict) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         by_part: dict[int, list] = {}
         for (suffix, left), places in found.items():
             by_part.setdefault(int.from_bytes(hashlib.blake2b(suffix[:GRAM], digest_size=8).digest(), "little") % n_parts, []).append((suffix, left, places))
         parts, loads = [], []
-        pack = zstandard.ZstdCompressor(level=3).compress
+        known: list[tuple] = []  # (id, text hash, from, to)
         for part, items in by_part.items():
             items.sort(key=lambda x: x[:2])
             lefts = [x[1] for x in items]
-            loads.append(pack(pickle.dumps((encode_run([x[0] for x in items]), bytes(map(len, lefts)), b"".join(lefts), np.array([len(x[2]) for x in items], np.int64), [p[0] for x in items for p in x[2]], np.array([p[1:] for x in items for p in x[2]], np.int64)), protocol=5)))
+            for suffix, left, places in items:
+                if len(places) > 1 and len(suffix) + len(left) >= WINDOW:
+                    known += [(i, h, p - len(left), p + len(suffix)) for i, h, p in places]
+            own = [x[2][0] if len(x[2]) == 1 else None for x in items]
+            loads.append(pack(pickle.dumps((encode_run([x[0] for x in items]), bytes(map(len, lefts)), b"".join(lefts), np.array([x is None for x in own]), [x and x[0] for x in own], np.array([x[1:] if x else (0, 0) for x in own], np.int64)), protocol=5)))
             parts.append(part)
+        for at in range(0, len(known), RUN_RECORDS):
+            some = known[at : at + RUN_RECORDS]
+            loads.append(pack(pickle.dumps(([x[0] for x in some], np.array([x[1:] for x in some], np.int64)), protocol=5)))
+            parts.append(-1 - abs(hash(some[0][1:])) % n_parts)
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(loads, pa.binary())], ["part", "run"])
 
@@ -249,7 +267,7 @@ def _runs(n_parts: int) -> Callable:
             texts, places = batch.column("text"), batch.column("places")
             for r in range(batch.num_rows):
                 data = unpack(texts[r].as_py())
-                for p in set(places[r].as_py()):
+                for p in places[r].as_py():
                     if p + GRAM <= len(data):
                         found.setdefault((data[p : p + WINDOW], data[max(0, p - SIDE) : p]), []).append((ids[r], hashes[r], p))
             if len(found) > RUN_RECORDS:
@@ -265,17 +283,18 @@ def _classes(step: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.cumsum(step | breaks)
 
 
-def repeated_windows(suffixes: list[bytes], lefts: list[bytes], shared: np.ndarray, copies: np.ndarray) -> np.ndarray:
+def repeated_windows(suffixes: list[bytes], lefts: list[bytes], shared: np.ndarray, many: np.ndarray) -> np.ndarray:
     """[record, offset] is True if the window that starts ``offset`` bytes before the anchor comes elsewhere.
 
-    Records are in suffix order; ``shared`` is the prefix each shares with its predecessor.
+    Records are in suffix order; ``shared`` is the prefix each shares with its predecessor,
+    ``many`` says that a record stands for several places.
     """
     n = len(suffixes)
     offsets = np.arange(SIDE + 1)
     right_len = np.array([len(s) for s in suffixes]) - GRAM
     left_len = np.array([len(x) for x in lefts])
     fits = (offsets[None, :] <= left_len[:, None]) & (SIDE - offsets[None, :] <= right_len[:, None])
-    out = fits & (copies > 1)[:, None]
+    out = fits & many[:, None]
     new_gram = shared < GRAM
     new_gram[0] = True
     gram = np.cumsum(new_gram)
@@ -311,44 +330,32 @@ def repeated_windows(suffixes: list[bytes], lefts: list[bytes], shared: np.ndarr
     return out
 
 
+_RANGES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+
+
 def _merged(t: pa.Table) -> pa.Table:
-    runs, lefts, places = [], [], []
     unpack = zstandard.ZstdDecompressor().decompress
-    for load in t.column("run").to_pylist():
-        (shared, rest, tails), left_lens, left_bytes, counts, ids, where = pickle.loads(unpack(load))
+    loads = (pickle.loads(unpack(x.as_py())) for x in t.column("run"))
+    if t.column("part")[0].as_py() < 0:
+        return pa.concat_tables([_RANGES.empty_table(), *[pa.table([pa.array(ids, pa.int64()), *[pa.array(c) for c in rest.T]], ["doc_id", "th", "a", "b"]).cast(_RANGES) for ids, rest in loads]])
+    runs, lefts, places = [], [], []
+    for (shared, rest, tails), left_lens, left_bytes, many, ids, where in loads:
         ends = np.cumsum(np.frombuffer(left_lens, np.uint8).astype(np.int64)).tolist()
         lefts.append([left_bytes[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        stops = np.cumsum(counts).tolist()
-        places.append((ids, where, [0, *stops]))
+        places.append((many, ids, where))
         runs.append((decode_run(shared, rest, tails), shared))
-    suffixes, left, shared, copies, owners = [], [], [], [], []
-    low = WINDOW
-    for r, i, n in merge_runs(runs):
-        stops = places[r][2]
-        s, x = runs[r][0][i], lefts[r][i]
-        low = min(low, n)
-        count = stops[i + 1] - stops[i]
-        suffixes.append(s)
-        left.append(x)
-        shared.append(low)
-        copies.append(count)
-        owners.append((r, stops[i], stops[i + 1]))
-        low = WINDOW
-    flags = repeated_windows(suffixes, left, np.array(shared, np.int64), np.array(copies)) if suffixes else np.zeros((0, SIDE + 1), bool)
+    order = list(merge_runs(runs))
+    suffixes = [runs[r][0][i] for r, i, _ in order]
+    left = [lefts[r][i] for r, i, _ in order]
+    many = np.array([places[r][0][i] for r, i, _ in order], bool)
+    flags = repeated_windows(suffixes, left, np.array([n for _, _, n in order], np.int64), many) if order else np.zeros((0, SIDE + 1), bool)
+    flags[many] = False  # their places have their ranges
     edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     rec, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
-    out_id, out_th, out_a, out_b = [], [], [], []
-    for k, o1, o2 in zip(rec.tolist(), first.tolist(), last.tolist(), strict=True):
-        r, a, b = owners[k]
-        ids, where, _ = places[r]
-        for i in range(a, b):
-            th, p = where[i]
-            out_id.append(ids[i])
-            out_th.append(th)
-            out_a.append(p - o2)
-            out_b.append(p - o1 + WINDOW)
-    return pa.table({"doc_id": pa.array(out_id, pa.int64()), "th": pa.array(out_th, pa.int64()), "a": pa.array(out_a, pa.int32()), "b": pa.array(out_b, pa.int32())})
+    found = [(places[r][1][i], *places[r][2][i].tolist()) for r, i, _ in (order[k] for k in rec.tolist())]
+    at = np.array([p for _, _, p in found], np.int64)
+    return pa.table([pa.array([i for i, _, _ in found], pa.int64()), pa.array([h for _, h, _ in found], pa.int64()), pa.array(at - last), pa.array(at - first + WINDOW)], ["doc_id", "th", "a", "b"]).cast(_RANGES)
 
 
 def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,12 +373,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         n_bytes, removed, spans, kept, digest = [], [], [], [], []
-        texts, hashes, ranges = batch.column("text"), batch.column("th").to_pylist(), batch.column("ranges")
+        texts, ranges = batch.column("text"), batch.column("ranges")
+        names = list(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True))
         for r in range(batch.num_rows):
             data = unpack(texts[r].as_py())
             n_bytes.append(len(data))
             found = ranges[r].as_py() or []
-            found = np.array([(x["a"], x["b"]) for x in found if x["th"] == hashes[r]], np.int64).reshape(-1, 2)
+            found = np.array([(x["a"], x["b"]) for x in found if (x["doc_id"], x["th"]) == names[r]], np.int64).reshape(-1, 2)
             if len(found):
                 a, b = united(found[:, 0], found[:, 1])
                 rest = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
@@ -388,18 +396,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every row."""
     spark = docs.sparkSession
     n = shuffle_parts(spark)
-    slim = docs.where(F.octet_length("text") >= WINDOW).select("doc_id", F.col("text").cast("string").alias("text"))
-    found = slim.mapInArrow(_slim, "x long, doc_id long, pos int").repartition(n, "x").sortWithinPartitions("x").mapInArrow(_repeated, "doc_id long, pos int")
-    places = stage(found.groupBy("doc_id").agg(F.collect_list("pos").alias("places")), "suffix-places")
+    text = F.col("text").cast("string")
+    rk = F.xxhash64("doc_id", F.xxhash64("text"))  # the key of a row; exact names of rows travel with ranges
+    slim = docs.where(F.octet_length("text") >= WINDOW).select(rk.alias("rk"), text.alias("text"))
+    found = slim.mapInArrow(_slim, "x long, rk long, pos int").repartition(n, "x").sortWithinPartitions("x").mapInArrow(_repeated, "rk long, pos int")
+    places = stage(found.groupBy("rk").agg(F.collect_set("pos").alias("places")), "suffix-places")
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     n_parts = max(n, total // RECORDS_PER_PART)
     # one shuffle of the texts serves both joins
-    dealt = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(_packed, "doc_id long, th long, text binary").repartition(n, "doc_id")
-    with_places = dealt.join(places.withColumnRenamed("doc_id", "_p"), F.col("doc_id").eqNullSafe(F.col("_p"))).select("doc_id", "th", "text", "places")
+    dealt = docs.select(rk.alias("rk"), "doc_id", F.xxhash64("text").alias("th"), text.alias("text")).mapInArrow(_packed, "rk long, doc_id long, th long, text binary").repartition(n, "rk")
+    with_places = dealt.join(places.withColumnRenamed("rk", "_p"), F.col("rk") == F.col("_p")).select("doc_id", "th", "text", "places")
     runs = with_places.mapInArrow(_runs(n_parts), "part int, run binary")
     ranges = runs.repartition(n_parts, "part").groupBy("part").applyInArrow(_merged, "doc_id long, th long, a int, b int")
-    ranges = ranges.groupBy(F.col("doc_id").alias("_r")).agg(F.collect_list(F.struct("th", "a", "b")).alias("ranges"))
-    rows = dealt.join(ranges, F.col("doc_id").eqNullSafe(F.col("_r")), "left").select("doc_id", "th", "text", "ranges")
+    ranges = ranges.groupBy(F.xxhash64("doc_id", "th").alias("_r")).agg(F.collect_set(F.struct("doc_id", "th", "a", "b")).alias("ranges"))
+    rows = dealt.join(ranges, F.col("rk") == F.col("_r"), "left").select("doc_id", "th", "text", "ranges")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -90,6 +90,25 @@ def test_suffixes(spark, sf):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(x), int(cover.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffixes_of_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    filler = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = filler(330)
+    rows = [(None if i % 2 else 7, filler(rng.randrange(0, 300)) + passage * (i % 3 > 0) + filler(rng.randrange(0, 300))) for i in range(60)]
+    rows += [rows[1], rows[1], rows[2], (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    t = [(i, (x or "").encode()) for i, x in rows]
+    count = Counter(x[k : k + 200] for _, x in t for k in range(len(x) - 199))
+    want = Counter()
+    for i, x in t:
+        cover = np.zeros(len(x), bool)
+        for k in range(len(x) - 199):
+            if count[x[k : k + 200]] > 1:
+                cover[k : k + 200] = True
+        want[i, bytes(np.frombuffer(x, np.uint8)[~cover])] += 1
+    assert Counter((r["doc_id"], bytes(r["kept"])) for r in suffixes.deduplicated(d).collect()) == want
+
+
 def test_loser_tree_and_front_coding():
     rng = random.Random(5)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(30))) for _ in range(7)]
