@@ -261,6 +261,7 @@ def _runs(n_parts: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = {}
+        held = 0
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
@@ -270,9 +271,10 @@ def _runs(n_parts: int) -> Callable:
                 for p in places[r].as_py():
                     if p + GRAM <= len(data):
                         found.setdefault((data[p : p + WINDOW], data[max(0, p - SIDE) : p]), []).append((ids[r], hashes[r], p))
-            if len(found) > RUN_RECORDS:
-                yield from flush(found)
-                found = {}
+                        held += 1
+                if len(found) > RUN_RECORDS or held > 2 * RUN_RECORDS:
+                    yield from flush(found)
+                    found, held = {}, 0
         yield from flush(found)
 
     return run
