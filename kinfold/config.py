@@ -1,4 +1,10 @@
-"""Thresholds of the phases, per species."""
+"""Thresholds of the phases, per species.
+
+A stored configuration names the clusterer ``algorithm``, the linkage limit
+``distance_threshold`` and the model files ``face_model``, ``body_model``, ``detector_model``
+and ``body_detector_model``; configurations stored by other tools under other names cannot be
+read across.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +18,7 @@ MIN_BODY_CROP = 32
 IMAGENET_MEAN = (0.485, 0.456, 0.406)
 IMAGENET_STD = (0.229, 0.224, 0.225)
 ALGORITHMS = ("hdbscan", "agglomerative", "chinese_whispers")
+DOG_CLASS, CAT_CLASS = 16, 15
 
 
 @dataclass(frozen=True)
@@ -20,6 +27,8 @@ class SpeciesConfig:
     face_model: str
     body_model: str
     detector_model: str
+    body_detector_model: str
+    coco_class: int
     face_weight: float
     body_rescue_threshold: float
     min_body_agreements: int
@@ -49,12 +58,13 @@ class SpeciesConfig:
 
 
 def _preset(species: str, **values) -> SpeciesConfig:
-    return SpeciesConfig(species, f"{species}_face.onnx", f"{species}_body.onnx", f"{species}_face_detector.onnx", **values)
+    return SpeciesConfig(species, f"{species}_face.onnx", f"{species}_body.onnx", "face_detector.onnx", "body_detector.onnx", **values)
 
 
+#: Fixed values.
 PRESETS = {
-    "dog": _preset("dog", face_weight=0.5, body_rescue_threshold=0.25, min_body_agreements=3, body_merge_threshold=0.35),
-    "cat": _preset("cat", face_weight=0.3, body_rescue_threshold=0.20, min_body_agreements=2, body_merge_threshold=0.30),
+    "dog": _preset("dog", coco_class=DOG_CLASS, face_weight=0.5, body_rescue_threshold=0.25, min_body_agreements=3, body_merge_threshold=0.35),
+    "cat": _preset("cat", coco_class=CAT_CLASS, face_weight=0.3, body_rescue_threshold=0.20, min_body_agreements=2, body_merge_threshold=0.30),
 }
 
 

@@ -40,6 +40,16 @@ def unletterbox(box: dict[str, Column], scale: Column, pad_x: Column, pad_y: Col
     }
 
 
+def landmarks(lm: Column, scale: Column, pad_x: Column, pad_y: Column, w: Column, h: Column) -> Column:
+    """Landmarks x, y, x, y, ... back to image coordinates, clamped at both sides."""
+
+    def one(v: Column, i: Column) -> Column:
+        x = i % 2 == 0
+        return F.least(F.greatest((v - F.when(x, pad_x).otherwise(pad_y)) / scale, F.lit(0.0)), F.when(x, w).otherwise(h).cast("double"))
+
+    return F.transform(lm, one)
+
+
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.lit(0.0))
     h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]), F.lit(0.0))

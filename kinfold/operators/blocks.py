@@ -27,11 +27,11 @@ def fresh(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c).alias(c) for c in rows.columns])
 
 
-def n_blocks(rows: DataFrame, per_block: int = ROWS) -> int:
-    return max(1, -(-rows.count() // per_block))
+def n_blocks(rows: DataFrame, per_block: int | None = None) -> int:
+    return max(1, -(-rows.count() // (per_block or ROWS)))
 
 
-def self_blocks(rows: DataFrame, key: str, body: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, per_block: int = ROWS) -> DataFrame:
+def self_blocks(rows: DataFrame, key: str, body: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, per_block: int | None = None) -> DataFrame:
     """``body(left, right, same)`` for each unordered pair of blocks; same: both are the same block."""
     n = n_blocks(rows, per_block)
     cut = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
@@ -46,7 +46,7 @@ def self_blocks(rows: DataFrame, key: str, body: Callable[[pa.Table, pa.Table, b
     return dealt.groupBy("_lo", "_hi").applyInArrow(run, schema)
 
 
-def cross_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key: str, body: Callable[[pa.Table, pa.Table], pa.Table], schema: str, per_block: int = ROWS) -> DataFrame:
+def cross_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key: str, body: Callable[[pa.Table, pa.Table], pa.Table], schema: str, per_block: int | None = None) -> DataFrame:
     """``body(left block, right block)`` for each pair of blocks."""
     nl, nr = n_blocks(left, per_block), n_blocks(right, per_block)
     left, right = fresh(left), fresh(right)

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = shared_dir.own = tempfile.mkdtemp(prefix="kinfold-")
+    return at.rstrip("/")
+
+
 def durable(df: DataFrame, what: str) -> DataFrame:
-    """Written to the folder in ``spark.checkpoint.dir`` (a folder of our own only where it is unset) and read back."""
+    """Written to the shared folder and read back."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = durable.own = getattr(durable, "own", None) or tempfile.mkdtemp(prefix="kinfold-")
-    path = f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,5 +45,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError("components did not settle")
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

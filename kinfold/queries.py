@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PRESETS, config
 from .functions import geometry as G
+from .functions import models, pixels
 from .functions import vectors as V
-from .operators import blocks, phases
+from .operators import blocks, detect, phases
 from .operators import clusterers as C
 from .operators import tables as T
-from .operators.graph import components, durable
+from .operators.graph import components, durable, shared_dir
 from .plans import fixture, identify
+from .sources import state as S
 from .sources.images import deduplicated
 
 DOG = config("dog")
@@ -173,12 +179,82 @@ def summary_counts(spark, sf):
 
 
 def summary_json(spark, sf):
-    return T.summary(fixture.modalities(spark, sf), "dog", DOG.to_json(), 1.234, rescue_count=0, body_cluster_count=0, merge_count=0).select("json")
+    return T.summary(fixture.modalities(spark, sf), "dog", DOG.to_json(), 1.234, rescue_count=1, body_cluster_count=2, merge_count=3).select("json")
+
+
+def report(spark, sf):
+    return T.report(fixture.modalities(spark, sf))
+
+
+def filenames(spark, sf):
+    return T.filenames(fixture.modalities(spark, sf)).select("idx", "folder", "filename")
+
+
+def state_roundtrip(spark, sf):
+    """The last of two saved versions, read back."""
+    r, folder = _rows(spark, sf), f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    S.save(S.State(r, 64, 64, DOG), folder)
+    S.save(S.State(r.withColumn("label", F.col("label") + 1), 64, 64, DOG), folder)
+    s = S.load(spark, folder)
+    first = lambda c: _r(F.element_at(c, 1).cast("double"), 4)
+    return s.rows.select("idx", "path", "has_face", "has_body", "label", first("face").alias("f1"), first("body").alias("b1"), F.lit(s.config.species).alias("species"), F.lit(s.face_dim).alias("face_dim"))
+
+
+def merge_log(spark, sf):
+    _, log = identify.merge_phase(_rows(spark, sf), DOG)
+    return log.select("action", F.col("clusters")[0].alias("c1"), F.col("clusters")[1].alias("c2"), "avg_body_sim", "avg_face_sim", "reason")
+
+
+def phase_guards(spark, sf):
+    """Phases over rows that are too few for them: one face, one body, one cluster."""
+    r = _rows(spark, sf)
+    low = r.agg(F.min(F.when(F.col("has_face"), F.col("idx"))).alias("f"), F.min(F.when(F.col("has_body"), F.col("idx"))).alias("b"), F.min(F.when(F.col("label") != -1, F.col("label"))).alias("c")).first()
+    face = identify.face_phase(r.where(~F.col("has_face") | (F.col("idx") == low["f"])), DOG)
+    body, _ = identify.body_phase(r.where(~F.col("has_body") | (F.col("idx") == low["b"])).withColumn("label", F.lit(-1)), DOG)
+    merged, _ = identify.merge_phase(r.where(F.col("label").isin(-1, low["c"])), DOG)
+    out = None
+    for name, d in (("face", face), ("body", body), ("merge", merged)):
+        one = d.agg(F.lit(name).alias("guard"), F.count("*").alias("n"), F.count_if(F.col("label") != -1).alias("n_labelled"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def model_rows(spark, sf):
+    """Vectors of a stand-in model, which fails on some rows and finds nothing on others."""
+
+    def factory():
+        def embed(content):
+            k = int(content)
+            if k % 13 == 0:
+                raise RuntimeError(f"no image {k}")
+            return ([k % 7, k % 5, 1.0] if k % 3 else None), ([0.0, 0.0] if k % 4 == 0 else [1.0, k % 11])
+
+        return embed
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("idx"), F.lit("p").alias("path"), F.when(F.col("vec_id") % 17 != 0, F.col("vec_id").cast("string").cast("binary")).alias("content"))
+    m = models.filled(models.embedded(e, factory), 3, 2)
+    return m.select("idx", "has_face", "has_body", "error", *[_r(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("face", 3), ("body", 2)) for i in range(n)])
+
+
+def crop_input(spark, sf):
+    """The model's input of crops of one colour: its three channels, and how many values it has."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("vec_id").to_pylist()
+            x = [pixels.model_input(np.tile(np.array([i % 256, i % 200, i % 150], np.uint8), (20 + i % 9, 30, 1))) for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *[pa.array([float(v[0, c].mean()) for v in x]) for c in range(3)], pa.array([v.size for v in x], pa.int64())], ["vec_id", "r", "g", "b", "n"])
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").where("vec_id < 40")
+    return e.mapInArrow(run, "vec_id long, r double, g double, b double, n long").select("vec_id", *[_r(c, 4).alias(c) for c in "rgb"], "n")
 
 
 def presets(spark, sf):
-    rows = [(c.species, c.face_weight, c.body_rescue_threshold, c.min_body_agreements, c.body_merge_threshold, c.face_veto_threshold, c.face_contradiction_threshold, c.min_cluster_size, c.min_samples, c.min_body_overlap_ratio) for c in PRESETS.values()]
-    return spark.createDataFrame(rows, "species string, face_weight double, body_rescue_threshold double, min_body_agreements int, body_merge_threshold double, face_veto_threshold double, face_contradiction_threshold double, min_cluster_size int, min_samples int, min_body_overlap_ratio double")
+    names = list(asdict(DOG))
+    d = spark.createDataFrame([tuple(asdict(c).values()) for c in PRESETS.values()], names)
+    return d.select(*[F.col(c).cast("int") if t == "bigint" else F.col(c) for c, t in d.dtypes])
 
 
 def _boxes(spark, sf):
@@ -229,10 +305,33 @@ def best_box(spark, sf):
 
 
 def species_vote(spark, sf):
-    d = _boxes(spark, sf).select("image", F.when(F.col("conf") > 0.08, 16).otherwise(15).alias("cls"))
+    d = _boxes(spark, sf).select((F.col("vec_id") % 120).alias("image"), F.when(F.col("conf") > 0.08, 16).otherwise(15).alias("cls"))
     return T.species_vote(d)
 
 
+def best_body(spark, sf):
+    d = _cornered(spark, sf).select("image", (15 + F.col("vec_id") % 2).alias("cls"), (F.col("conf") * 3).alias("conf"), "x1", "y1", "x2", "y2")
+    return detect.best_bodies(d, DOG.coco_class).select("image", *[_r(c).alias(c) for c in ("conf", "x1", "y1", "x2", "y2")])
+
+
+def _predictions(spark, sf):
+    """Synthetic face predictions, a few an image."""
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    image = F.col("vec_id") % 25
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    lm = F.array(*[F.lit(320.0) + at(10 + i) * 900 for i in range(6)])
+    return e.select(image.alias("image"), (400 + image * 7).cast("int").alias("w"), (300 + image * 5).cast("int").alias("h"), (F.lit(320.0) + at(1) * 400).alias("cx"), (F.lit(320.0) + at(2) * 400).alias("cy"), (F.lit(60.0) + F.abs(at(3)) * 300).alias("bw"), (F.lit(60.0) + F.abs(at(4)) * 300).alias("bh"), (F.abs(at(7)) * 3).alias("obj"), lm.alias("lm"), F.array(F.abs(at(8)), F.abs(at(9))).alias("cls"))
+
+
+def face_decode(spark, sf):
+    f = detect.faces(_predictions(spark, sf))
+    return f.select("image", "rank", _r("conf").alias("conf"), "x1", "y1", "x2", "y2", *[_r(F.col("lm")[i], 3).alias(f"l{i}") for i in range(6)])
+
+
+def best_face(spark, sf):
+    return detect.best_faces(detect.faces(_predictions(spark, sf))).select("image", _r("conf").alias("conf"), "x1", "y1", "x2", "y2")
+
+
 def _clustered(algorithm):
     def run(spark, sf):
         f = fixture.modalities(spark, sf).where("has_face").select("idx", F.col("face").alias("vec"))
@@ -262,14 +361,15 @@ QUERIES = {
         vec_norm, sim_edges, knn_topk, mutual_reach, graph_components, fixture_modalities, centroid_median, centroid_mean, centroid_body, body_rescue,
         rescue_outcomes, rescue_stats, merge_candidates, merge_stats, merge_components, merged_labels, renumber, cluster_sizes, label_stats, new_rows_anti,
         scan_dedupe, assign_centroid, state_union, manifest, summary_counts, summary_json, presets, bbox_geometry, iou_pairs, nms, best_box, species_vote,
-        core_distance, pipeline_batch, pipeline_add,
+        core_distance, pipeline_batch, pipeline_add, report, filenames, state_roundtrip, merge_log, phase_guards, model_rows, crop_input, best_body,
+        face_decode, best_face,
     )
 } | {"cluster_whispers": _clustered("chinese_whispers"), "cluster_agglomerative": _clustered("agglomerative"), "cluster_hdbscan": _clustered("hdbscan")}
 
 _E = "e AS MATERIALIZED (SELECT vec_id AS idx, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"
 _SIM = "s AS MATERIALIZED (SELECT x.idx AS a, y.idx AS b, list_dot_product(x.vec, y.vec) AS sim FROM e x JOIN e y ON x.idx < y.idx)"
 _NEAR = """d AS (SELECT a AS idx, greatest(0.0, least(2.0, 1 - sim)) AS dist FROM s UNION ALL SELECT b, greatest(0.0, least(2.0, 1 - sim)) FROM s),
-n AS (SELECT idx, CAST(row_number() OVER (PARTITION BY idx ORDER BY dist) AS INT) AS rank, dist FROM d QUALIFY rank <= 2)"""
+n AS MATERIALIZED (SELECT idx, CAST(row_number() OVER (PARTITION BY idx ORDER BY dist) AS INT) AS rank, dist FROM d QUALIFY rank <= 2)"""
 
 
 def _median(source: str, cluster: str, vec: str, denominator: str, name: str = "c") -> str:
@@ -328,17 +428,37 @@ def _rank_cents(name: str) -> str:
     return f"SELECT cluster, CAST(unnest(generate_series(0, 63)) AS INT) AS pos, round(unnest(centroid), {R}) + 0.0 AS x FROM {name}"
 
 
+_NAMED = "SELECT idx, label, CASE WHEN label = -1 THEN 'unclustered' ELSE 'cluster_' || lpad(CAST(dense_rank() OVER (PARTITION BY label = -1 ORDER BY label) AS VARCHAR), 3, '0') END AS folder, split_part(path, '/', 3) AS base FROM rows"
+_CLAMP = "least(greatest((lm[{j}] - {pad}) / scale, 0.0), {most})"
+_FACES_SQL = f"""pr AS (SELECT vec_id, vec_id % 25 AS image, CAST(400 + vec_id % 25 * 7 AS INT) AS w, CAST(300 + vec_id % 25 * 5 AS INT) AS h, 320.0::DOUBLE + embedding[1]::DOUBLE * 400 AS cx, 320.0::DOUBLE + embedding[2]::DOUBLE * 400 AS cy,
+    60.0::DOUBLE + abs(embedding[3]::DOUBLE) * 300 AS bw, 60.0::DOUBLE + abs(embedding[4]::DOUBLE) * 300 AS bh, abs(embedding[7]::DOUBLE) * 3 AS obj, greatest(abs(embedding[8]::DOUBLE), abs(embedding[9]::DOUBLE)) AS best, list_transform(embedding[10:15], lambda x: 320.0::DOUBLE + x::DOUBLE * 900) AS lm FROM embeddings),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image ORDER BY conf DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) AS rk FROM (SELECT *, obj * best AS conf, cx - bw / 2 AS x1, cy - bh / 2 AS y1, cx + bw / 2 AS x2, cy + bh / 2 AS y2 FROM pr WHERE obj > 0.3)),
+ov AS MATERIALIZED (SELECT a.image, a.rk AS hi, b.rk AS lo FROM o a JOIN o b ON a.image = b.image AND a.rk < b.rk WHERE {_iou('a', 'b')} > 0.5),
+wk AS (SELECT image, 0::BIGINT AS rk, []::BIGINT[] AS kept FROM (SELECT DISTINCT image FROM o) UNION ALL
+    SELECT wk.image, wk.rk + 1, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.image = wk.image AND ov.lo = wk.rk + 1 AND list_contains(wk.kept, ov.hi)) THEN wk.kept ELSE list_append(wk.kept, wk.rk + 1) END FROM wk WHERE EXISTS (SELECT 1 FROM o WHERE o.image = wk.image AND o.rk = wk.rk + 1)),
+kp AS (SELECT o.*, row_number() OVER (PARTITION BY o.image ORDER BY o.rk) - 1 AS rank FROM (SELECT image, kept FROM wk QUALIFY row_number() OVER (PARTITION BY image ORDER BY rk DESC) = 1) z JOIN o ON o.image = z.image AND list_contains(z.kept, o.rk)),
+g0 AS (SELECT *, least(640 / h, 640 / w) AS scale FROM kp), g1 AS (SELECT *, {_trunc('(640 - ' + _trunc('w * scale') + ') / 2')} AS px, {_trunc('(640 - ' + _trunc('h * scale') + ') / 2')} AS py FROM g0),
+faces AS (SELECT image, CAST(rank AS INT) AS rank, conf, {_trunc('greatest((x1 - px) / scale, 0.0)')} AS x1, {_trunc('greatest((y1 - py) / scale, 0.0)')} AS y1, {_trunc('least((x2 - px) / scale, w)')} AS x2, {_trunc('least((y2 - py) / scale, h)')} AS y2,
+    {', '.join(_CLAMP.format(j=i + 1, pad='px' if i % 2 == 0 else 'py', most='w' if i % 2 == 0 else 'h') + f' AS l{i}' for i in range(6))} FROM g1)"""
+
+
+def _presets_sql() -> str:
+    """The fixed values of both presets as they are stated, and what is the same in both."""
+    shared = "'face_detector.onnx' AS detector_model, 'body_detector.onnx' AS body_detector_model, 0.05::DOUBLE AS face_veto_threshold, 0.1::DOUBLE AS face_contradiction_threshold, 2 AS min_cluster_size, 2 AS min_samples, 0.5::DOUBLE AS min_body_overlap_ratio, 'hdbscan' AS algorithm, 0.55::DOUBLE AS distance_threshold, 0.45::DOUBLE AS cw_threshold, 20 AS cw_iterations, 0 AS seed"
+    return f"SELECT *, species || '_face.onnx' AS face_model, species || '_body.onnx' AS body_model, {shared} FROM (VALUES ('dog', 16, 0.5::DOUBLE, 0.25::DOUBLE, 3, 0.35::DOUBLE), ('cat', 15, 0.3::DOUBLE, 0.2::DOUBLE, 2, 0.3::DOUBLE)) t(species, coco_class, face_weight, body_rescue_threshold, min_body_agreements, body_merge_threshold)"
+
+
 SQL = {
     "vec_norm": f"WITH {_E}, z AS MATERIALIZED (SELECT idx, list_transform(vec, lambda x: x * (label + 1)) AS v FROM e), y AS MATERIALIZED (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM z), u AS MATERIALIZED (SELECT *, list_transform(v, lambda x: x / n) AS un FROM y) SELECT idx, round(n, {R}) + 0.0 AS norm, round(sqrt(list_dot_product(un, un)), {R}) + 0.0 AS unit, round(un[1], {R}) + 0.0 AS first FROM u",
     "sim_edges": f"WITH {_E}, {_SIM} SELECT a, b, round(sim, {R}) + 0.0 AS sim FROM s WHERE sim > 0.3",
     "knn_topk": f"WITH {_E}, {_SIM}, {_NEAR} SELECT idx, rank, round(dist, {R}) + 0.0 AS dist FROM n",
-    "mutual_reach": f"WITH {_E}, {_SIM}, {_NEAR} SELECT a, b, round(greatest(1 - sim, x.dist, y.dist), {R}) + 0.0 AS reach FROM s JOIN n x ON x.idx = a AND x.rank = 2 JOIN n y ON y.idx = b AND y.rank = 2 WHERE sim > 0.3",
+    "mutual_reach": f"WITH {_E}, {_SIM}, {_NEAR}, c AS MATERIALIZED (SELECT idx, dist FROM n WHERE rank = 2), p AS MATERIALIZED (SELECT a, b, sim FROM s WHERE sim > 0.3) SELECT a, b, round(greatest(1 - sim, x.dist, y.dist), {R}) + 0.0 AS reach FROM p JOIN c x ON x.idx = a JOIN c y ON y.idx = b",
     "graph_components": f"WITH RECURSIVE {_E}, {_SIM}, link AS MATERIALIZED (SELECT a, b FROM s WHERE sim > 0.35 UNION ALL SELECT b, a FROM s WHERE sim > 0.35), reach AS (SELECT idx AS node, idx AS seen FROM e UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.seen) SELECT node, min(seen) AS component FROM reach GROUP BY node",
     "fixture_modalities": _f(f"SELECT idx, path, has_face, has_body, label, round(face[1], {R}) + 0.0 AS f1, round(body[1], {R}) + 0.0 AS b1, round(sqrt(list_dot_product(face, face)), {R}) + 0.0 AS fn FROM rows"),
     "centroid_median": _f(_rank_cents("c"), _median(_FACES, "label", "face", _SAFE)),
     "centroid_body": _f(_rank_cents("c"), _median(_BODIES, "label", "body", _SAFE)),
     "centroid_mean": _f(f"SELECT cluster, CAST(p - 1 AS INT) AS pos, round(avg(x), {R}) + 0.0 AS x FROM (SELECT label AS cluster, unnest(generate_series(1, 64)) AS p, unnest(body) AS x FROM {_BODIES}) GROUP BY cluster, p"),
-    "rescue_stats": _f(f"SELECT idx, cluster, first_idx, n_agree, round(avg_sim, {R}) + 0.0 AS avg_sim FROM st", _STATS),
+    "rescue_stats": _f(f"SELECT idx, cluster, first_idx, n_agree, round(avg_sim, {R}) + 0.0 AS avg_sim FROM st WHERE n_agree > 0", _STATS),
     "body_rescue": _f(f"SELECT idx, action, CASE WHEN action = 'rescued' THEN bc END AS cluster, CASE WHEN action IN ('rescued', 'vetoed') THEN round(avg_sim, {R}) + 0.0 END AS body_avg_sim, CASE WHEN action = 'rescued' THEN n_agree END AS n_agree, CASE WHEN action = 'vetoed' THEN bc END AS proposed_cluster FROM al", _RESCUE),
     "rescue_outcomes": _f("SELECT action, count(*) AS n FROM al GROUP BY action", _RESCUE),
     "merge_candidates": _f(f"SELECT c1, c2, round(sim, {R}) + 0.0 AS centroid_sim FROM cand", _CAND),
@@ -361,7 +481,34 @@ SQL = {
     "state_union": _f("SELECT idx, path, label FROM rows WHERE idx % 4 <> 0 UNION ALL SELECT (SELECT max(idx) FROM rows WHERE idx % 4 <> 0) + row_number() OVER (ORDER BY path), path, label FROM (SELECT path || '#' || lpad(CAST(idx AS VARCHAR), 8, '0') AS path, label FROM rows WHERE idx % 4 = 0)"),
     "manifest": _f("SELECT idx, folder, base, row_number() OVER (PARTITION BY folder, base ORDER BY idx) - 1 AS rank FROM (SELECT idx, CASE WHEN label = -1 THEN 'unclustered' ELSE 'cluster_' || lpad(CAST(dense_rank() OVER (PARTITION BY label = -1 ORDER BY label) AS VARCHAR), 3, '0') END AS folder, split_part(path, '/', 3) AS base FROM rows)"),
     "summary_counts": _f("SELECT (SELECT count(*) FROM rows) AS total_images, (SELECT count(DISTINCT label) FROM rows WHERE label <> -1) AS n_clusters, (SELECT count(*) FROM rows WHERE label = -1) AS n_unclustered, 'cluster_' || lpad(CAST(row_number() OVER (ORDER BY label) AS VARCHAR), 3, '0') AS folder, n FROM (SELECT label, count(*) AS n FROM rows WHERE label <> -1 GROUP BY label)"),
-    "presets": "SELECT * FROM (VALUES ('dog', 0.5::DOUBLE, 0.25::DOUBLE, 3, 0.35::DOUBLE), ('cat', 0.3::DOUBLE, 0.2::DOUBLE, 2, 0.3::DOUBLE)) t(species, face_weight, body_rescue_threshold, min_body_agreements, body_merge_threshold), (SELECT 0.05::DOUBLE AS face_veto_threshold, 0.1::DOUBLE AS face_contradiction_threshold, 2 AS min_cluster_size, 2 AS min_samples, 0.5::DOUBLE AS min_body_overlap_ratio)",
+    "presets": _presets_sql(),
+    "report": _f("SELECT *, round(n_face * 100.0 / n, 1)::DOUBLE AS pct_face, round(n_body * 100.0 / n, 1)::DOUBLE AS pct_body, round(n_clustered * 100.0 / n, 1)::DOUBLE AS pct_clustered FROM (SELECT count(*) AS n, count(*) FILTER (WHERE has_face) AS n_face, count(*) FILTER (WHERE has_body) AS n_body, count(*) FILTER (WHERE label <> -1) AS n_clustered, count(*) FILTER (WHERE label = -1) AS n_unclustered, count(DISTINCT label) FILTER (WHERE label <> -1) AS n_clusters FROM rows)"),
+    "filenames": _f(f"SELECT idx, folder, CASE WHEN rank = 0 THEN base ELSE replace(base, '.jpg', '_' || rank || '.jpg') END AS filename FROM (SELECT *, row_number() OVER (PARTITION BY folder, base ORDER BY idx) - 1 AS rank FROM ({_NAMED}))"),
+    "state_roundtrip": _f("SELECT idx, path, has_face, has_body, CAST(label + 1 AS INT) AS label, round(CAST(CAST(face[1] AS FLOAT) AS DOUBLE), 4) + 0.0 AS f1, round(CAST(CAST(body[1] AS FLOAT) AS DOUBLE), 4) + 0.0 AS b1, 'dog' AS species, 64 AS face_dim FROM rows"),
+    "summary_json": _f(f"""SELECT '{{"species":"dog","total_images":' || count(*) || ',"n_clusters":' || count(DISTINCT folder) FILTER (WHERE label <> -1) || ',"n_unclustered":' || count(*) FILTER (WHERE label = -1)
+    || ',"cluster_sizes":{{' || (SELECT string_agg('"' || folder || '":' || n, ',' ORDER BY folder) FROM (SELECT folder, count(*) AS n FROM named WHERE label <> -1 GROUP BY folder))
+    || '}},"elapsed_seconds":1.23,"config":{json.dumps(asdict(DOG), sort_keys=True, separators=(",", ":"))},"rescue_count":1,"body_cluster_count":2,"merge_count":3}}' AS json FROM named""", f"named AS ({_NAMED})"),
+    "merge_log": _f(
+        """SELECT 'blocked' AS action, c1, c2, round(ab, 4) AS avg_body_sim, NULL::DOUBLE AS avg_face_sim, 'face_contradiction=' || printf('%.4f', af) AS reason FROM dec WHERE blocked
+    UNION ALL SELECT 'merged', o.c1, o.c2, round(ab, 4), round(af, 4), NULL FROM uf JOIN ord o USING (k) WHERE joined""",
+        _MERGE,
+        "ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ab DESC, c1, c2) AS k, c1, c2, ab, af FROM dec WHERE NOT blocked)",
+        """uf AS (SELECT 0::BIGINT AS k, list(label ORDER BY label) AS root, list(label ORDER BY label) AS names, false AS joined FROM (SELECT DISTINCT label FROM rows WHERE label <> -1) UNION ALL
+    SELECT k, CASE WHEN ra <> rb THEN list_transform(root, lambda x: CASE WHEN x = rb THEN ra ELSE x END) ELSE root END, names, ra <> rb
+    FROM (SELECT o.k, uf.root, uf.names, uf.root[list_position(uf.names, o.c1)] AS ra, uf.root[list_position(uf.names, o.c2)] AS rb FROM uf JOIN ord o ON o.k = uf.k + 1))""",
+        recursive=True,
+    ),
+    "phase_guards": _f("""SELECT 'face' AS guard, count(*) AS n, 0::BIGINT AS n_labelled FROM rows WHERE NOT has_face OR idx = (SELECT min(idx) FROM rows WHERE has_face)
+    UNION ALL SELECT 'body', count(*), 0 FROM rows WHERE NOT has_body OR idx = (SELECT min(idx) FROM rows WHERE has_body)
+    UNION ALL SELECT 'merge', count(*), count(*) FILTER (WHERE label <> -1) FROM rows WHERE label = -1 OR label = (SELECT min(label) FROM rows WHERE label <> -1)"""),
+    "model_rows": f"""WITH k AS (SELECT vec_id AS idx, vec_id % 17 <> 0 AS there, vec_id % 17 <> 0 AND vec_id % 13 = 0 AS bad, vec_id AS k FROM embeddings),
+f AS (SELECT idx, there AND NOT bad AND k % 3 <> 0 AS has_face, there AND NOT bad AS has_body, CASE WHEN bad THEN 'RuntimeError: no image ' || k END AS error, [k % 7, k % 5, 1.0]::DOUBLE[] AS fv, CASE WHEN k % 4 = 0 THEN [0.0, 0.0]::DOUBLE[] ELSE [1.0, k % 11]::DOUBLE[] END AS bv FROM k),
+n AS (SELECT *, sqrt(list_dot_product(fv, fv)) AS fn, greatest(sqrt(list_dot_product(bv, bv)), 1e-300) AS bn FROM f)
+SELECT idx, has_face, has_body, error, {", ".join(f"CASE WHEN has_face THEN round(fv[{i + 1}] / fn, {R}) ELSE 0.0 END + 0.0 AS face{i}" for i in range(3))}, {", ".join(f"CASE WHEN has_body THEN round(bv[{i + 1}] / bn, {R}) ELSE 0.0 END + 0.0 AS body{i}" for i in range(2))} FROM n""",
+    "crop_input": "SELECT vec_id, round((vec_id % 150 / 255.0::DOUBLE - 0.485) / 0.229, 4) + 0.0 AS r, round((vec_id % 200 / 255.0::DOUBLE - 0.456) / 0.224, 4) + 0.0 AS g, round((vec_id % 256 / 255.0::DOUBLE - 0.406) / 0.225, 4) + 0.0 AS b, 150528::BIGINT AS n FROM embeddings WHERE vec_id < 40",
+    "best_body": f"WITH {_BOX} SELECT image, round(conf * 3, {R}) + 0.0 AS conf, round(x1, {R}) + 0.0 AS x1, round(y1, {R}) + 0.0 AS y1, round(x2, {R}) + 0.0 AS x2, round(y2, {R}) + 0.0 AS y2 FROM cb WHERE vec_id % 2 = 1 AND conf * 3 > 0.3 QUALIFY row_number() OVER (PARTITION BY image ORDER BY conf DESC, x1, y1, x2, y2) = 1",
+    "face_decode": f"WITH RECURSIVE {_FACES_SQL} SELECT image, rank, round(conf, {R}) + 0.0 AS conf, x1, y1, x2, y2, {', '.join(f'round(l{i}, 3) + 0.0 AS l{i}' for i in range(6))} FROM faces",
+    "best_face": f"WITH RECURSIVE {_FACES_SQL} SELECT image, round(conf, {R}) + 0.0 AS conf, x1, y1, x2, y2 FROM faces WHERE rank = 0",
     "bbox_geometry": f"""WITH {_BOX}, l0 AS (SELECT *, least(640 / h, 640 / w) AS scale FROM cb),
 l1 AS (SELECT *, {_trunc('w * scale')} AS new_w, {_trunc('h * scale')} AS new_h FROM l0), l2 AS (SELECT *, {_trunc('(640 - new_w) / 2')} AS pad_x, {_trunc('(640 - new_h) / 2')} AS pad_y FROM l1),
 u AS (SELECT * EXCLUDE (x1, y1, x2, y2), {_trunc('greatest((x1 - pad_x) / scale, 0.0)')} AS x1, {_trunc('greatest((y1 - pad_y) / scale, 0.0)')} AS y1, {_trunc('least((x2 - pad_x) / scale, w)')} AS x2, {_trunc('least((y2 - pad_y) / scale, h)')} AS y2, sqrt(ex * ex + ey * ey) AS ed, degrees(atan2(ey, ex)) AS angle FROM l2),
@@ -377,6 +524,6 @@ w AS (SELECT image, 0::BIGINT AS rk, []::BIGINT[] AS kept FROM (SELECT DISTINCT
     SELECT w.image, w.rk + 1, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.image = w.image AND ov.lo = w.rk + 1 AND list_contains(w.kept, ov.hi)) THEN w.kept ELSE list_append(w.kept, w.rk + 1) END FROM w WHERE EXISTS (SELECT 1 FROM o WHERE o.image = w.image AND o.rk = w.rk + 1))
 SELECT o.image, o.vec_id, round(conf, {R}) + 0.0 AS conf FROM (SELECT image, kept FROM w QUALIFY row_number() OVER (PARTITION BY image ORDER BY rk DESC) = 1) z JOIN o ON o.image = z.image AND list_contains(z.kept, o.rk)""",
     "best_box": f"WITH {_BOX} SELECT image, vec_id, round(conf, {R}) + 0.0 AS conf FROM cb WHERE conf > 0.02 QUALIFY row_number() OVER (PARTITION BY image ORDER BY conf DESC, vec_id) = 1",
-    "species_vote": f"WITH {_BOX}, v AS (SELECT count(*) FILTER (WHERE conf > 0.08) AS n_dog, count(*) FILTER (WHERE NOT conf > 0.08) AS n_cat FROM cb) SELECT n_dog, n_cat, CASE WHEN n_dog >= n_cat THEN 'dog' ELSE 'cat' END AS species FROM v",
+    "species_vote": f"WITH {_BOX}, im AS (SELECT DISTINCT vec_id % 120 AS image FROM bx), ch AS (SELECT image FROM im ORDER BY md5('0|' || image), image LIMIT 50), v AS (SELECT count(*) FILTER (WHERE conf > 0.08) AS n_dog, count(*) FILTER (WHERE NOT conf > 0.08) AS n_cat FROM cb WHERE vec_id % 120 IN (SELECT image FROM ch)) SELECT n_dog, n_cat, CASE WHEN n_dog >= n_cat THEN 'dog' ELSE 'cat' END AS species FROM v",
     "core_distance": _f(f"SELECT idx, round(dist, {R}) + 0.0 AS core FROM (SELECT idx, dist FROM d QUALIFY row_number() OVER (PARTITION BY idx ORDER BY dist) = 2)", "s AS MATERIALIZED (SELECT x.idx AS a, y.idx AS b, list_dot_product(x.face, y.face) AS sim FROM rows x JOIN rows y ON x.idx < y.idx WHERE x.has_face AND y.has_face)", "d AS (SELECT a AS idx, greatest(0.0, least(2.0, 1 - sim)) AS dist FROM s UNION ALL SELECT b, greatest(0.0, least(2.0, 1 - sim)) FROM s)"),
 }

@@ -1,13 +1,14 @@
-"""State of a clustering: one row an image as Parquet, one row of metadata, versions behind a pointer.
+"""State of a clustering: one row an image as Parquet and one row of metadata, in numbered versions.
 
-A save writes a new version folder and then moves the pointer, so a reader sees a whole
-version and a plan never overwrites what it reads. Pointer and metadata go through Spark's
-writers too, so the folder may lie in any store that Spark reaches.
+A save writes the rows of a new version and then its metadata; a version is whole once its
+metadata are there, and the last whole version is the state. Nothing is overwritten or
+deleted, so a save that stops at any point leaves the state before it, and a plan never
+overwrites what it reads. All goes through Spark's readers and writers, so the folder may lie
+in any store that Spark reaches. Two saves at once: the second to write fails.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import SpeciesConfig
 
 ROWS = "idx long, path string, face array<float>, body array<float>, has_face boolean, has_body boolean, label int"
-META = "species string, face_dim int, body_dim int, config_json string"
+META = "version long, species string, face_dim int, body_dim int, config_json string"
 
 
 @dataclass(frozen=True)
@@ -27,21 +28,41 @@ class State:
     config: SpeciesConfig
 
 
-def save(state: State, folder: str) -> str:
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether anything lies at ``folder``, be it a whole state or not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _last(spark: SparkSession, folder: str):
+    """The metadata of the last whole version, or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v-*/meta/*.parquet")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+        return None
+    return spark.read.schema(META).parquet(f"{folder}/v-*/meta/*.parquet").orderBy(F.desc("version")).first()
+
+
+def save(state: State, folder: str) -> int:
+    """Writes a new version and gives its number."""
     spark = state.rows.sparkSession
-    version = uuid.uuid4().hex
+    last = _last(spark, folder)
+    # versions that a save left unfinished are stepped over
+    version = (last["version"] if last else 0) + 1
+    while exists(spark, f"{folder}/v-{version:09d}"):
+        version += 1
+    at = f"{folder}/v-{version:09d}"
     typed = state.rows.select("idx", "path", *[F.transform(F.coalesce(c, F.array_repeat(F.lit(0.0), d)), lambda x: x.cast("float")).alias(c) for c, d in (("face", state.face_dim), ("body", state.body_dim))], "has_face", "has_body", F.col("label").cast("int").alias("label"))
-    typed.write.parquet(f"{folder}/v-{version}/rows")
-    spark.createDataFrame([(state.config.species, state.face_dim, state.body_dim, state.config.to_json())], META).write.parquet(f"{folder}/v-{version}/meta")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    typed.write.parquet(f"{at}/rows")
+    spark.createDataFrame([(version, state.config.species, state.face_dim, state.body_dim, state.config.to_json())], META).coalesce(1).write.parquet(f"{at}/meta")
     return version
 
 
 def load(spark: SparkSession, folder: str) -> State:
-    """A corrupt configuration raises ValueError; rows whose vectors have other widths are refused."""
-    version = spark.read.text(f"{folder}/current").first()[0]
-    rows = spark.read.schema(ROWS).parquet(f"{folder}/v-{version}/rows")
-    meta = spark.read.schema(META).parquet(f"{folder}/v-{version}/meta").first()
+    """The last whole version. None, a corrupt configuration or vectors of other widths raise ValueError."""
+    meta = _last(spark, folder)
+    if meta is None:
+        raise ValueError(f"Corrupt state file: no whole version in {folder}")
+    rows = spark.read.schema(ROWS).parquet(f"{folder}/v-{meta['version']:09d}/rows")
     wide = rows.where((F.size("face") != meta["face_dim"]) | (F.size("body") != meta["body_dim"]))
     if not wide.isEmpty():
         raise ValueError("Corrupt state file: a vector has another width than the state says")

@@ -6,28 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import SpeciesConfig
+from ..operators.tables import numbered
 from ..plans import identify
 from ..sources import state as S
 
 
 def step(folder: str, cfg: SpeciesConfig, face_dim: int, body_dim: int):
-    """A function for ``foreachBatch``. A batch that comes again adds nothing, as its paths are stored by then."""
+    """A function for ``foreachBatch``. A batch that comes again adds nothing, as its paths are stored by then.
+
+    Only a folder that is not there is a new state; one without a whole version is an error. A
+    first batch without faces clusters bodies alone.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        try:
-            stored = S.load(spark, folder)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            from pyspark.sql import Window
-            from pyspark.sql import functions as F
-
-            ranked = batch.dropDuplicates(["path"]).withColumn("idx", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
-            S.save(S.State(identify.batch(ranked, cfg).rows, face_dim, body_dim, cfg), folder)
+        if not S.exists(spark, folder):
+            ranked = numbered(batch.dropDuplicates(["path"]).drop("idx"), ["path"], "idx")
+            S.save(S.State(identify.batch(ranked, cfg, guarded=False).rows, face_dim, body_dim, cfg), folder)
             return
+        stored = S.load(spark, folder)
         result = identify.add(stored.rows, batch, stored.config)
         if result.rows is not stored.rows:
             S.save(S.State(result.rows, stored.face_dim, stored.body_dim, stored.config), folder)

@@ -10,7 +10,7 @@ from kinfold.config import PRESETS, SpeciesConfig, config
 from kinfold.functions import geometry as G
 from kinfold.functions import models, pixels
 from kinfold.functions import vectors as V
-from kinfold.operators import blocks, clusterers, phases
+from kinfold.operators import clusterers, phases
 from kinfold.operators import tables as T
 from kinfold.operators.graph import components
 from kinfold.plans import identify
@@ -67,33 +67,6 @@ def test_median_is_exact_for_even_counts(spark):
     assert V.median_vector(r, "c", "v", "m").first()["m"] == [2.5]
 
 
-def test_blocks_agree_with_one_block(spark):
-    v = np.random.default_rng(0).normal(size=(60, 8))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    r = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "idx long, vec array<double>")
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] > 0.4}
-    for per in (2048, 17):
-        blocks.ROWS = per
-        n = blocks.n_blocks(r, per)
-        assert n == -(-60 // per)
-        got = {(x["a"], x["b"]) for x in blocks.self_blocks(r, "idx", lambda x, y, same: _pairs(x, y, same), "a long, b long", per).collect()}
-        assert got == want
-    blocks.ROWS = 2048
-
-
-def _pairs(x, y, same):
-    import pyarrow as pa
-
-    i, j = x.column("idx").to_numpy(), y.column("idx").to_numpy()
-    if not len(i) or not len(j):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    hit = blocks.matrix(x, "vec") @ blocks.matrix(y, "vec").T > 0.4
-    if same:
-        hit &= i[:, None] < j[None, :]
-    p, q = np.nonzero(hit)
-    return pa.table({"a": np.minimum(i[p], j[q]), "b": np.maximum(i[p], j[q])})
-
-
 def test_components(spark):
     nodes = spark.range(12).withColumnRenamed("id", "node")
     edges = spark.createDataFrame([(0, 1), (2, 1), (3, 2), (4, 3), (7, 8), (8, 7), (9, 9)], "a long, b long")
@@ -208,7 +181,10 @@ def test_clusterers_find_planted_groups(spark, algorithm):
 
 def test_batch_edges(spark):
     empty = frame(spark, [(0, None, None, -1)]).drop("label")
-    assert identify.batch(empty, DOG).rows.first()["label"] == -1
+    assert identify.batch(empty, DOG, guarded=False).rows.first()["label"] == -1
+    for rows in (empty, empty.limit(0)):
+        with pytest.raises(ValueError):
+            identify.batch(rows, DOG)
     one = frame(spark, [(0, at(0), at(0), -1), (1, None, at(90), -1)]).drop("label")
     assert {x["label"] for x in identify.face_phase(one, DOG).collect()} == {-1}
 
