@@ -22,7 +22,9 @@ feature that no other member has chains nothing.
 
 Inside a family all sets are compared exactly, in blocks of about ``BLOCK`` by ``BLOCK`` sets:
 shared features by matrix products. A block returns a spanning forest of its links, so
-output grows with the members, while no link is lost. Links' components give the result.
+output grows with the members, while no link is lost. In families of several blocks all sets
+are compared with the least one first; those linked to it are in one component already, so
+only pairs with a set that is not are compared then. Links' components give the result.
 
 Similarity is exact but for 64-bit hashes of shingles inside one pair of sets.
 
@@ -268,30 +270,54 @@ def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _sets_of(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """(sets, their sizes)"""
+    col = t.column("items").combine_chunks()
+    off, values = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint64)
+    sets = [values[off[i] : off[i + 1]] for i in range(t.num_rows)]
+    return sets, np.array([len(s) for s in sets], np.int64)
+
+
+def _linked(sets: list[np.ndarray], size: np.ndarray, p: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows (i, j), i of ``p`` and j of ``q``, of linked sets."""
+    n = _shared([sets[i] for i in p], [sets[j] for j in q]).astype(np.int64)
+    i, j = np.nonzero(n * den >= num * (size[p][:, None] + size[q][None, :] - n))
+    return np.stack([p[i], q[j]], 1)
+
+
+def _pairs(a: list[str], b: list[str]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+
 def _verify(num: int, den: int) -> Callable:
+    """Rows (node, side, items) of one block: a spanning forest of the links between sides 0 and 1, or inside side 0 if there is no other."""
+
     def run(t: pa.Table) -> pa.Table:
-        node, part = np.array(t.column("node").to_pylist(), object), t.column("part").to_numpy()
-        col = t.column("items").combine_chunks()
-        off = col.offsets.to_numpy()
-        values = col.values.to_numpy().view(np.uint64)
-        sets = [values[off[i] : off[i + 1]] for i in range(len(node))]
-        low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        ia, ib = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        a, b = [], []
-        if len(ia) and len(ib):
-            size = np.array([len(s) for s in sets], np.int64)
-            links = []
-            for x in range(0, len(ia), BLOCK):
-                for y in range(0, len(ib), BLOCK):
-                    p, q = ia[x : x + BLOCK], ib[y : y + BLOCK]
-                    n = _shared([sets[i] for i in p], [sets[i] for i in q]).astype(np.int64)
-                    hit = n * den >= num * (size[p][:, None] + size[q][None, :] - n)
-                    i, j = np.nonzero(hit)
-                    i, j = p[i], q[j]
-                    links += _forest(len(node), np.stack([i, j], 1)[i < j] if low == high else np.stack([i, j], 1))
-            links = _forest(len(node), np.array(links, np.int64).reshape(-1, 2))
-            a, b = [node[i] for i, _ in links], [node[j] for _, j in links]
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+        node, side = t.column("node").to_pylist(), t.column("side").to_numpy()
+        sets, size = _sets_of(t)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        inside = not len(right) and t.column("alone")[0].as_py()
+        links = [np.zeros((0, 2), np.int64)]
+        for x in range(0, len(left), BLOCK):
+            for y in range(0, len(left if inside else right), BLOCK):
+                found = _linked(sets, size, left[x : x + BLOCK], (left if inside else right)[y : y + BLOCK], num, den)
+                links.append(np.array(_forest(len(node), found[found[:, 0] < found[:, 1]] if inside else found), np.int64).reshape(-1, 2))
+        links = _forest(len(node), np.concatenate(links))
+        return _pairs([node[i] for i, _ in links], [node[j] for _, j in links])
+
+    return run
+
+
+def _to_least(num: int, den: int) -> Callable:
+    """Rows (node, least, items) of one block and the least set: (node, least, whether they link)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, least = t.column("node").to_pylist(), t.column("least").to_numpy(zero_copy_only=False)
+        sets, size = _sets_of(t)
+        one, rest = np.flatnonzero(least), np.flatnonzero(~least)
+        hit = set(_linked(sets, size, one, rest, num, den)[:, 1].tolist()) if len(rest) else set()
+        names = [node[i] for i in rest]
+        return pa.table({"a": pa.array(names, pa.string()), "b": pa.array([node[one[0]]] * len(names), pa.string()), "linked": pa.array([i in hit for i in rest.tolist()], pa.bool_())})
 
     return run
 
@@ -368,6 +394,27 @@ def families(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int
     return small.unionByName(sized(_chained(_rarest(rows, num, den))))
 
 
+def _links_of_large(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect what is linked in families of several blocks, from rows (node, family, part, parts, items)."""
+    low = sets.groupBy("family").agg(F.min("node").alias("node"))
+    least = sets.join(low, ["family", "node"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    others = sets.join(low.withColumnRenamed("node", "_low"), "family").where("node <> _low")
+    block = ["family", "part"]
+    cells = least.select(*block, "node", F.lit(True).alias("least"), "items").unionByName(others.select(*block, "node", F.lit(False).alias("least"), "items"))
+    first = stage(cells.groupBy(*block).applyInArrow(_to_least(num, den), "a string, b string, linked boolean"), "jaccard-first")
+    near = first.where("linked").select("a", "b")
+    rest = first.where("not linked").select(F.col("a").alias("node"))
+    if rest.isEmpty():
+        return near
+    rest = sets.join(rest, "node").select("family", "node", "parts", "items")
+    sizes = rest.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    rest = stage(rest.join(sizes, "family").withColumn("row", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int")), "jaccard-rest")
+    # every set that is not linked to the least one meets every set: those of its kind and the others
+    left = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", "row", "part", "node", F.lit(0).alias("side"), F.lit(False).alias("alone"), "items")
+    right = sets.join(sizes, "family").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select("family", "row", "part", "node", F.lit(1).alias("side"), F.lit(False).alias("alone"), "items")
+    return near.unionByName(left.unionByName(right).groupBy("family", "row", "part").applyInArrow(_verify(num, den), "a string, b string"))
+
+
 def linked(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id for every row; links at num/den or more."""
     f = stage(_whole(docs).mapInArrow(_features(width), "doc_id long, th long, n_shingles long, d1 long, d2 long"), "jaccard-features")
@@ -375,10 +422,14 @@ def linked(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Da
     classes = stage(classes.withColumn("node", _node()), "jaccard-classes")
     family = families(docs, classes, width, num, den).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = classes.join(family, "d1").select("node", "family", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("one.th").alias("mth"), F.col("one.doc_id").alias("mid"))
-    found = _texts_of(docs, stage(members, "jaccard-members"))
-    sets = found.select("node", "family", "part", "parts", "text").mapInArrow(_sets(width), "node string, family long, part int, parts int, items array<long>")
-    dealt = sets.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "family", "part", "items", F.least("part", "_o").alias("lo"), F.greatest("part", "_o").alias("hi"))
-    links = dealt.groupBy("family", "lo", "hi").applyInArrow(_verify(num, den), "a string, b string")
+    members = stage(members, "jaccard-members")
+
+    def sets(some: DataFrame) -> DataFrame:
+        return _texts_of(docs, some).select("node", "family", "part", "parts", "text").mapInArrow(_sets(width), "node string, family long, part int, parts int, items array<long>")
+
+    links = sets(members.where("parts = 1")).select("family", "node", F.lit(0).alias("side"), F.lit(True).alias("alone"), "items").groupBy("family").applyInArrow(_verify(num, den), "a string, b string")
+    if not members.where("parts > 1").isEmpty():
+        links = links.unionByName(_links_of_large(stage(sets(members.where("parts > 1")), "jaccard-large-sets"), num, den))
     group = components(links)
     named = classes.select("node", "d1", "d2", "n_shingles", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -59,9 +59,11 @@ def test_jaccard(spark, sf, monkeypatch, width, num, block):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [1000, 1])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(components, "HEAVY", heavy)
     rng = random.Random(3)
-    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000 - 7 * (i % 2), 1500 + i) for i in range(300)]
     got = dict(components.components(spark.createDataFrame(pairs, "a long, b long")).collect())
     near = {}
     for a, b in pairs:
@@ -76,6 +78,23 @@ def test_components(spark):
         assert least == min(seen)
 
 
+def test_one_giant_family(spark, monkeypatch):
+    """Many near copies of one text, of which some link only to some others, and strangers that share its passages."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(base[:60] + [f"y{i}_{k}" for k in range(60)])) for i in range(40)]
+    want = brute_components({i: shingled(t, 3) for i, t in rows}, 90)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 42
+
+
 def test_suffixes(spark, sf):
     t = {i: x.encode() for i, x in texts(spark, sf).items()}
     count = Counter(x[k : k + 200] for x in t.values() for k in range(len(x) - 199))
