@@ -13,7 +13,9 @@ Any part of the features differs by at most k too, so at thresholds that need sm
 signatures leave out the most common features (``COMMON`` of them at most, counted in tasks
 and broadcast); the same ones for all sets, else any choice is right.
 
-Classes that share a signature are chained to the least one (a star, not all pairs);
+Classes that share a signature are chained to the least one (a star, not all pairs), first
+those of a batch, of which one goes on to meet the others, so no signature gathers all of a
+large group's classes;
 connected chains are families, which hold every linked pair. Common passages can chain many
 sets that are not alike, so the members of families of more than ``BLOCK`` classes are cut
 again before any comparison, by their rarest features: ordered by how many members have
@@ -40,6 +42,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,8 +182,30 @@ def _without(h: np.ndarray, left_out: np.ndarray) -> np.ndarray:
     return left_out[k] != h
 
 
+_SIGNED = "sig long, d1 long, b long"
+
+
+def _combined(sig: np.ndarray, d1: np.ndarray) -> pa.RecordBatch:
+    """Rows (sig, d1, b): each signature with its least class and b null, and links (d1, b) of its other classes, spread by d1."""
+    order = np.lexsort((d1, sig))
+    sig, d1 = sig[order], d1[order]
+    start = np.ones(len(sig), bool)
+    start[1:] = sig[1:] != sig[:-1]
+    first = d1[start][np.cumsum(start) - 1]
+    a, b = np.unique(np.stack([d1, first], 1)[d1 != first], axis=0).T
+    whole = pa.array(np.concatenate([np.zeros(start.sum(), np.int64), b]), mask=np.concatenate([np.ones(start.sum(), bool), np.zeros(len(b), bool)]))
+    spread = mix(np.ascontiguousarray(a).view(np.uint64), 17).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[start], spread])), pa.array(np.concatenate([d1[start], a])), whole], ["sig", "d1", "b"])
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _combined(batch.column("sig").to_numpy(), batch.column("d1").to_numpy())
+
+
 def _signs(width: int, num: int, den: int, shared=None) -> Callable:
-    """Rows (text) to rows (sig, d1). A class signs once a task."""
+    """Rows (text) to rows (sig, d1, b). A class signs once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -194,15 +219,21 @@ def _signs(width: int, num: int, den: int, shared=None) -> Callable:
                 if not fresh.any():
                     continue
                 sig, place = signatures(h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])]), num, den, left_out)
-                yield pa.RecordBatch.from_arrays([_signed(sig), _signed(np.repeat(d1[fresh], np.diff(place)))], ["sig", "d1"])
+                if len(sig):
+                    yield _combined(sig.view(np.int64), np.repeat(d1[fresh], np.diff(place)).view(np.int64))
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, d1), sorted: (a, b) = (class, first class of its signature), for signatures of several classes."""
+    """Rows (sig, d1, b), sorted: (a, b) = (class, first class of its signature), for signatures of several classes, and the links there are."""
     sig0 = first0 = None
     for batch in batches:
+        link = batch.column(2).is_valid()
+        if link.true_count:
+            known = batch.filter(link)
+            yield pa.RecordBatch.from_arrays([known.column(1), known.column(2)], ["a", "b"])
+            batch = batch.filter(pa.compute.invert(link))
         if not batch.num_rows:
             continue
         sig, d1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -345,7 +376,7 @@ def _features_of(width: int) -> Callable:
 
 
 def _chained(signed: DataFrame) -> DataFrame:
-    """(d1, family) of all classes that share a signature, from rows (sig, d1)."""
+    """(d1, family) of all classes that share a signature, from rows (sig, d1, b)."""
     n = shuffle_parts(signed.sparkSession)
     pairs = signed.repartition(n, "sig").sortWithinPartitions("sig", "d1").mapInArrow(_stars, "a long, b long").distinct()
     found = components(pairs).select(F.col("node").alias("d1"), F.col("component").alias("family"))
@@ -381,7 +412,7 @@ def families(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int
         return family.join(sizes, "family")
 
     shared = docs.sparkSession.sparkContext.broadcast(common_features(docs, width)) if second_level(num, den) > 2 else None
-    first = sized(_chained(_whole(docs).select("text").mapInArrow(_signs(width, num, den, shared), "sig long, d1 long")))
+    first = sized(_chained(_whole(docs).select("text").mapInArrow(_signs(width, num, den, shared), _SIGNED)))
     large = stage(first.where(F.col("size") > BLOCK).select("d1"), "jaccard-large")
     small = first.where(F.col("size") <= BLOCK)
     if large.isEmpty():
@@ -391,7 +422,7 @@ def families(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int
     release(docs.sparkSession)
     texts = _texts_of(docs, members).select("d1", "text").dropDuplicates(["d1"])  # wholly equal rows are one class
     rows = stage(texts.select("text").mapInArrow(_features_of(width), "sig long, d1 long, n int"), "jaccard-large-features")
-    return small.unionByName(sized(_chained(_rarest(rows, num, den))))
+    return small.unionByName(sized(_chained(_rarest(rows, num, den).mapInArrow(_combine, _SIGNED))))
 
 
 def _links_of_large(sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -489,6 +489,31 @@ def test_sharding(spark, sf):
         assert max(each.values()) <= n / 24 + 2
 
 
+def test_sharding_interleaves_by_fractional_rank(spark, sf, monkeypatch):
+    """Every row's place from the seeded hashes alone, whatever the buckets; null and equal ids too."""
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    d = d.unionByName(spark.createDataFrame([(None, f"t{i}", [None, "x"][i % 2]) for i in range(40)], d.schema))
+    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    src = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+    read = lambda r: (r["doc_id"], r["text_crc32"], r["size"])
+    for rows in (1000, 7):
+        monkeypatch.setattr(shards, "ROWS_PER_BUCKET", rows)
+        out = shards.digest(d).withColumns({"h": F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(1 << 32)), "p": F.pmod(F.xxhash64(src, F.lit(7)), F.lit(1 << 20))}).collect()
+        by = {}
+        for r in out:
+            by.setdefault(r["source"], []).append(r)
+        placed = []
+        for s, rs in by.items():
+            rs.sort(key=lambda r: (r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]))
+            placed += [((k + r["p"] / float(1 << 20)) / len(rs), "s" + s if s is not None else "", k, r) for k, r in enumerate(rs)]
+        n = len(placed)
+        for pos, (_, _, _, r) in enumerate(sorted(placed, key=lambda x: x[:3])):
+            shard = pos * 24 // n
+            assert (r["shard"], r["slot"]) == (shard, pos - -(-shard * n // 24)), read(r)
+
+
 def test_secrets(spark, sf):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
