@@ -355,6 +355,19 @@ def pipeline_add(spark, sf):
     return identify.add(first.rows, r.where("idx % 4 = 0").drop("label"), DOG).rows.select("idx", "path", "label")
 
 
+LINKED = config("dog", algorithm="agglomerative")
+
+
+def face_phase(spark, sf):
+    return identify.face_phase(_rows(spark, sf), LINKED).select("idx", "label")
+
+
+def body_phase(spark, sf):
+    """Clusters of the bodies that the given labels leave out, and what the log says of them."""
+    out, log = identify.body_phase(_rows(spark, sf), LINKED)
+    return out.join(log.select("idx", "action"), "idx", "left").select("idx", "label", "action")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -362,7 +375,7 @@ QUERIES = {
         rescue_outcomes, rescue_stats, merge_candidates, merge_stats, merge_components, merged_labels, renumber, cluster_sizes, label_stats, new_rows_anti,
         scan_dedupe, assign_centroid, state_union, manifest, summary_counts, summary_json, presets, bbox_geometry, iou_pairs, nms, best_box, species_vote,
         core_distance, pipeline_batch, pipeline_add, report, filenames, state_roundtrip, merge_log, phase_guards, model_rows, crop_input, best_body,
-        face_decode, best_face,
+        face_decode, best_face, face_phase, body_phase,
     )
 } | {"cluster_whispers": _clustered("chinese_whispers"), "cluster_agglomerative": _clustered("agglomerative"), "cluster_hdbscan": _clustered("hdbscan")}
 
@@ -442,6 +455,43 @@ faces AS (SELECT image, CAST(rank AS INT) AS rank, conf, {_trunc('greatest((x1 -
     {', '.join(_CLAMP.format(j=i + 1, pad='px' if i % 2 == 0 else 'py', most='w' if i % 2 == 0 else 'h') + f' AS l{i}' for i in range(6))} FROM g1)"""
 
 
+def _pairs_sql(mask: str, vec: str) -> str:
+    return f"f AS MATERIALIZED (SELECT idx, {vec} AS v FROM rows WHERE {mask}), fs AS MATERIALIZED (SELECT x.idx AS a, y.idx AS b, list_dot_product(x.v, y.v) AS sim FROM f x JOIN f y ON x.idx < y.idx)"
+
+
+def _linkage_sql(mask: str, vec: str) -> str:
+    """``linked`` (idx, label): average linkage merge by merge, inside the components of pairs below the limit.
+
+    A pair that never merges keeps the table from running empty, whose last merge would be lost.
+    """
+    return f"""{_pairs_sql(mask, vec)},
+lk AS MATERIALIZED (SELECT a, b FROM fs WHERE 1 - sim < 0.55 UNION ALL SELECT b, a FROM fs WHERE 1 - sim < 0.55),
+re AS (SELECT idx AS node, idx AS seen FROM f UNION SELECT r.node, l.b FROM re r JOIN lk l ON l.a = r.seen),
+co AS MATERIALIZED (SELECT node, min(seen) AS comp FROM re GROUP BY node),
+p0 AS MATERIALIZED (SELECT a, b, greatest(0.0, least(2.0, 1 - sim)) AS tot FROM fs JOIN co x ON x.node = a JOIN co y ON y.node = b AND y.comp = x.comp UNION ALL SELECT -2, -1, 1e9),
+pp AS (SELECT 0 AS step, a, b, tot, 1::BIGINT AS n, NULL::BIGINT AS ma, NULL::BIGINT AS mb FROM p0
+  UNION ALL SELECT step + 1, least(a2, b2), greatest(a2, b2), sum(tot), sum(n)::BIGINT, ma, mb FROM (
+    SELECT p.step, p.tot, p.n, m.a AS ma, m.b AS mb, CASE WHEN p.a = m.b THEN m.a ELSE p.a END AS a2, CASE WHEN p.b = m.b THEN m.a ELSE p.b END AS b2
+    FROM pp p JOIN (SELECT a, b FROM pp WHERE tot / n < 0.55 ORDER BY tot / n, a, b LIMIT 1) m ON true) WHERE a2 <> b2 GROUP BY ALL),
+mg AS MATERIALIZED (SELECT DISTINCT mb, ma FROM pp WHERE step > 0),
+up AS (SELECT idx, idx AS label FROM f UNION ALL SELECT up.idx, ma FROM up JOIN mg ON mb = up.label),
+linked AS MATERIALIZED (SELECT idx, min(label) AS label FROM up GROUP BY idx)"""
+
+
+#: All sweeps over all nodes with a neighbour, one node a step; a sweep that changes nothing is followed by such sweeps only.
+_WHISPERS = f"""{_pairs_sql("has_face", "face")},
+nd AS MATERIALIZED (SELECT idx, row_number() OVER (ORDER BY idx) AS i FROM (SELECT a AS idx FROM fs WHERE sim > 0.45 UNION SELECT b FROM fs WHERE sim > 0.45)),
+nb AS MATERIALIZED (SELECT x.i, y.i AS j, least(sim, 1.0) AS w FROM (SELECT a, b, sim FROM fs WHERE sim > 0.45 UNION ALL SELECT b, a, sim FROM fs WHERE sim > 0.45) e JOIN nd x ON x.idx = e.a JOIN nd y ON y.idx = e.b),
+near AS MATERIALIZED (SELECT i, list(j ORDER BY j) AS js, list(w ORDER BY j) AS ws FROM nb GROUP BY i),
+od AS MATERIALIZED (SELECT sweep * (SELECT count(*) FROM nd) + row_number() OVER (PARTITION BY sweep ORDER BY md5('0|' || sweep || '|' || idx)) AS k, i, js, ws FROM nd JOIN near USING (i), (SELECT unnest(generate_series(0, 19)) AS sweep)),
+st AS (SELECT 0::BIGINT AS k, list(i ORDER BY i) AS lab FROM nd
+  UNION ALL SELECT k, list_concat(lab[1:i - 1], [best], lab[i + 1:]) FROM (
+    SELECT o.k, o.i, z.lab, (SELECT l FROM (SELECT z.lab[u.j] AS l, sum(u.w) AS v, min(u.j) AS t FROM (SELECT unnest(o.js) AS j, unnest(o.ws) AS w) u GROUP BY 1) ORDER BY v DESC, t LIMIT 1) AS best
+    FROM st z JOIN od o ON o.k = z.k + 1)),
+en AS (SELECT lab FROM st ORDER BY k DESC LIMIT 1),
+lb AS (SELECT idx, min(idx) OVER (PARTITION BY lab[i]) AS label FROM nd, en)"""
+
+
 def _presets_sql() -> str:
     """The fixed values of both presets as they are stated, and what is the same in both."""
     shared = "'face_detector.onnx' AS detector_model, 'body_detector.onnx' AS body_detector_model, 0.05::DOUBLE AS face_veto_threshold, 0.1::DOUBLE AS face_contradiction_threshold, 2 AS min_cluster_size, 2 AS min_samples, 0.5::DOUBLE AS min_body_overlap_ratio, 'hdbscan' AS algorithm, 0.55::DOUBLE AS distance_threshold, 0.45::DOUBLE AS cw_threshold, 20 AS cw_iterations, 0 AS seed"
@@ -482,6 +532,10 @@ SQL = {
     "manifest": _f("SELECT idx, folder, base, row_number() OVER (PARTITION BY folder, base ORDER BY idx) - 1 AS rank FROM (SELECT idx, CASE WHEN label = -1 THEN 'unclustered' ELSE 'cluster_' || lpad(CAST(dense_rank() OVER (PARTITION BY label = -1 ORDER BY label) AS VARCHAR), 3, '0') END AS folder, split_part(path, '/', 3) AS base FROM rows)"),
     "summary_counts": _f("SELECT (SELECT count(*) FROM rows) AS total_images, (SELECT count(DISTINCT label) FROM rows WHERE label <> -1) AS n_clusters, (SELECT count(*) FROM rows WHERE label = -1) AS n_unclustered, 'cluster_' || lpad(CAST(row_number() OVER (ORDER BY label) AS VARCHAR), 3, '0') AS folder, n FROM (SELECT label, count(*) AS n FROM rows WHERE label <> -1 GROUP BY label)"),
     "presets": _presets_sql(),
+    "cluster_whispers": _f("SELECT f.idx, coalesce(label, -1) AS label FROM f LEFT JOIN lb USING (idx)", _WHISPERS, recursive=True),
+    "cluster_agglomerative": _f("SELECT idx, label FROM linked", _linkage_sql("has_face", "face"), recursive=True),
+    "face_phase": _f("SELECT r.idx, coalesce(d, -1)::INT AS label FROM rows r LEFT JOIN (SELECT idx, dense_rank() OVER (ORDER BY label) - 1 AS d FROM linked) USING (idx)", _linkage_sql("has_face", "face"), recursive=True),
+    "body_phase": _f("SELECT r.idx, coalesce(d + (SELECT max(label) + 1 FROM rows), r.label)::INT AS label, CASE WHEN d IS NOT NULL THEN 'body_clustered' END AS action FROM rows r LEFT JOIN (SELECT idx, dense_rank() OVER (ORDER BY label) - 1 AS d FROM linked) USING (idx)", _linkage_sql("label = -1 AND has_body", "body"), recursive=True),
     "report": _f("SELECT *, round(n_face * 100.0 / n, 1)::DOUBLE AS pct_face, round(n_body * 100.0 / n, 1)::DOUBLE AS pct_body, round(n_clustered * 100.0 / n, 1)::DOUBLE AS pct_clustered FROM (SELECT count(*) AS n, count(*) FILTER (WHERE has_face) AS n_face, count(*) FILTER (WHERE has_body) AS n_body, count(*) FILTER (WHERE label <> -1) AS n_clustered, count(*) FILTER (WHERE label = -1) AS n_unclustered, count(DISTINCT label) FILTER (WHERE label <> -1) AS n_clusters FROM rows)"),
     "filenames": _f(f"SELECT idx, folder, CASE WHEN rank = 0 THEN base ELSE replace(base, '.jpg', '_' || rank || '.jpg') END AS filename FROM (SELECT *, row_number() OVER (PARTITION BY folder, base ORDER BY idx) - 1 AS rank FROM ({_NAMED}))"),
     "state_roundtrip": _f("SELECT idx, path, has_face, has_body, CAST(label + 1 AS INT) AS label, round(CAST(CAST(face[1] AS FLOAT) AS DOUBLE), 4) + 0.0 AS f1, round(CAST(CAST(body[1] AS FLOAT) AS DOUBLE), 4) + 0.0 AS b1, 'dog' AS species, 64 AS face_dim FROM rows"),

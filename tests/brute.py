@@ -30,7 +30,7 @@ def whispers(idx, sim, limit, sweeps, seed):
     label = list(range(n))
     for sweep in range(sweeps):
         before = list(label)
-        for i in sorted(range(n), key=lambda i: hashlib.blake2b(f"{seed}|{sweep}|{idx[i]}".encode(), digest_size=8).digest()):
+        for i in sorted(range(n), key=lambda i: hashlib.md5(f"{seed}|{sweep}|{idx[i]}".encode()).hexdigest()):
             votes = {}
             for j in near[i]:
                 votes[label[j]] = votes.get(label[j], 0.0) + min(max(sim[i, j], 0.0), 1.0)
