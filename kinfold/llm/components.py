@@ -35,6 +35,16 @@ def _moved(edges: DataFrame, light: DataFrame, heavy: DataFrame | None) -> DataF
     return e.where("hm is not null").select(F.col("b").alias("a"), F.col("hm").alias("b")).unionByName(rest)
 
 
+def matched(rows: DataFrame, key: str, found: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with ``found`` (key, n, ...) by ``key``, n being the rows of a key. Rows of heavy keys are not shuffled by them."""
+    found = stage(found, "cc-found")
+    heavy = F.col("n") > max(HEAVY, total // HEAVY_SHARE)
+    light = rows.join(found.where(~heavy).drop("n"), key)
+    if found.where(heavy).isEmpty():
+        return light
+    return rows.join(F.broadcast(found.where(heavy).drop("n")), key).unionByName(light)
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (a, b); component is the least node. Loops and repeats are harmless.
 

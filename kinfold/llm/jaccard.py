@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, shuffle_parts, stage, table
-from .components import components
+from .components import components, matched
 from .grams import chunks, distinct, mix, shingles
 
 BLOCK = 1024
@@ -188,14 +188,15 @@ _SIGNED = "sig long, d1 long, b long"
 def _combined(sig: np.ndarray, d1: np.ndarray) -> pa.RecordBatch:
     """Rows (sig, d1, b): each signature with its least class and b null, and links (d1, b) of its other classes, spread by d1."""
     order = np.lexsort((d1, sig))
-    sig, d1 = sig[order], d1[order]
-    start = np.ones(len(sig), bool)
-    start[1:] = sig[1:] != sig[:-1]
-    first = d1[start][np.cumsum(start) - 1]
-    a, b = np.unique(np.stack([d1, first], 1)[d1 != first], axis=0).T
-    whole = pa.array(np.concatenate([np.zeros(start.sum(), np.int64), b]), mask=np.concatenate([np.ones(start.sum(), bool), np.zeros(len(b), bool)]))
+    s, d = sig[order], d1[order]
+    start = np.ones(len(s), bool)
+    start[1:] = s[1:] != s[:-1]
+    first = d[start][np.cumsum(start) - 1]
+    a, b = np.unique(np.stack([d, first], 1)[d != first], axis=0).T
+    keep = np.sort(order[start])  # in the order given, in which a class's rows stand together and pack well
+    whole = pa.array(np.concatenate([np.zeros(len(keep), np.int64), b]), mask=np.concatenate([np.ones(len(keep), bool), np.zeros(len(b), bool)]))
     spread = mix(np.ascontiguousarray(a).view(np.uint64), 17).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[start], spread])), pa.array(np.concatenate([d1[start], a])), whole], ["sig", "d1", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[keep], spread])), pa.array(np.concatenate([d1[keep], a])), whole], ["sig", "d1", "b"])
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,8 +464,9 @@ def linked(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Da
         links = links.unionByName(_links_of_large(stage(sets(members.where("parts > 1")), "jaccard-large-sets"), num, den))
     group = components(links)
     named = classes.select("node", "d1", "d2", "n_shingles", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n_shingles").alias("cn"), "component_id")
+    named = stage(named, "jaccard-named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = matched(named, "component", least, named.count()).select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n_shingles").alias("cn"), "component_id")
     some = f.where("n_shingles > 0").join(named, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn")))
     none = f.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     out = ["doc_id", "th", "n_shingles", "component_id"]

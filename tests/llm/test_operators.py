@@ -81,6 +81,7 @@ def test_components(spark, monkeypatch, heavy):
 def test_one_giant_family(spark, monkeypatch):
     """Many near copies of one text, of which some link only to some others, and strangers that share its passages."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(components, "HEAVY", 20)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(120)]
     rows = []
