@@ -13,7 +13,7 @@ from kinfold.functions import vectors as V
 from kinfold.operators import blocks, clusterers, graph, phases
 from kinfold.operators import tables as T
 from kinfold.operators.graph import components
-from kinfold.plans import identify
+from kinfold.plans import fixture, identify
 from kinfold.sources import images, state
 from kinfold.streaming import incremental
 
@@ -202,6 +202,18 @@ def test_linked_has_components_of_all_pairs_in_few_edges(spark, monkeypatch):
         assert got == want and 2 < len({c for _, c in want}) < 300
 
 
+def test_face_phase_forms_no_table_of_pairs(spark, sf, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all pairs over a limit")
+
+    rows = fixture.modalities(spark, sf).cache()
+    for name in ("agglomerative", "chinese_whispers"):
+        monkeypatch.setattr(blocks, "edges", refused)
+        monkeypatch.setattr(clusterers, "linkage", refused)
+        out = identify.face_phase(rows, config("dog", algorithm=name))
+        assert out.where("has_face and label >= 0").count() > 0 == out.where("not has_face and label >= 0").count()
+
+
 def test_density_clusters():
     rng = np.random.default_rng(1)
     pts = np.concatenate([rng.normal(0, 0.05, (8, 2)), rng.normal(3, 0.05, (8, 2)), [[10.0, -10.0]]])
