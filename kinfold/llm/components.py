@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from .common import stage
 #: nodes are fewer than twice ``HEAVY_SHARE``, so they go to the tasks in a broadcast.
 HEAVY = 1000
 HEAVY_SHARE = 5000
+#: Up to so many edges are joined in one task: rounds would cost more than they spread.
+FEW = 200_000
 
 
 def _least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:
@@ -45,13 +51,35 @@ def matched(rows: DataFrame, key: str, found: DataFrame, total: int) -> DataFram
     return rows.join(F.broadcast(found.where(heavy).drop("n")), key).unionByName(light)
 
 
+def _in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) to (node, component)."""
+    t = [b for b in batches if b.num_rows]
+    if not t:
+        return
+    t = pa.Table.from_batches(t)
+    a, b = (t.column(n).to_numpy() for n in ("a", "b"))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while len(i):
+        x, y = least[i], least[j]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least != (up := least[least])).any():
+            least = up
+        apart = least[i] != least[j]
+        i, j = i[apart], j[apart]
+    kind = t.schema.field("a").type
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(nodes[least], kind)], ["node", "component"])
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (a, b); component is the least node. Loops and repeats are harmless.
 
     Large star: each node links its larger neighbours to its least neighbour. Small star: each
     node links its smaller neighbours and itself to the least. Both keep the components; when
     nothing changes, all edges point to the least node. Rounds grow as the logarithm of the
-    longest path. No task gathers a node's neighbours, nor the edges of a heavy node.
+    longest path. No task gathers a node's neighbours, nor the edges of a heavy node. ``FEW``
+    edges or less go to one task instead.
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = None
@@ -59,6 +87,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
             break
+        if state[0] <= FEW:
+            kind = e.schema["a"].dataType.simpleString()
+            return stage(e.repartition(1).mapInArrow(_in_task, f"node {kind}, component {kind}"), "cc-few")
         before = state
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         light, heavy = _least(both, state[0])

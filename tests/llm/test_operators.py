@@ -59,6 +59,34 @@ def test_jaccard(spark, sf, monkeypatch, width, num, block):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+@pytest.mark.parametrize("heavy", [1000, 3])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, heavy, few):
+    monkeypatch.setattr(components, "HEAVY", heavy)
+    monkeypatch.setattr(components, "HEAVY_SHARE", 10)
+    monkeypatch.setattr(components, "FEW", few)
+    if few:  # few edges take no rounds
+        monkeypatch.setattr(components, "_least", None)
+    rng = random.Random(7)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(110)] + [(500, 500), (7, 3), (3, 7)]
+    parent = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in parent:
+        for a, b in pairs:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    got = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(parent.items())
+    names = [(f"{a:05d}", f"{b:05d}") for a, b in pairs]
+    got = components.components(spark.createDataFrame(names, "a string, b string")).collect()
+    assert sorted(map(tuple, got)) == sorted((f"{a:05d}", f"{b:05d}") for a, b in parent.items())
+
+
+def test_jaccard_by_rounds(spark, sf, monkeypatch):
+    want = rows(jaccard.query(spark, sf).toPandas())
+    monkeypatch.setattr(components, "FEW", 0)
+    assert rows(jaccard.query(spark, sf).toPandas()) == want
+
+
 @pytest.mark.parametrize("heavy", [1000, 1])
 def test_components(spark, monkeypatch, heavy):
     monkeypatch.setattr(components, "HEAVY", heavy)
